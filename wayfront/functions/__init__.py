@@ -1 +1 @@
-""""""
+"""Scalar and array expressions, and helpers."""

@@ -1 +1 @@
-""""""
+"""Relational operators on networks, routes and fronts."""

@@ -1 +1 @@
-""""""
+"""Kernels, pipelines and the catalog of queries."""

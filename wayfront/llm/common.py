@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 #: Words of every contract: maximal runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -51,7 +53,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once when rows are whole texts."""
+    """Ready the Python workers, and bound what one holds at once when rows are whole texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

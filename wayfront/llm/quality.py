@@ -114,12 +114,12 @@ def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     cells = F.array(*[F.struct(F.lit(r[0]).alias("rule"), sum((rule_value(r) > c).cast("int") for c in r[4]).alias("above")) for r in RULES])
     seen = measured.join(known, "doc_id").select("stratum", "quality", F.explode(cells).alias("cell"))
     tallies = seen.groupBy("stratum", "cell.rule", "cell.above").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
-    hypotheses = tallies.select("stratum").distinct().agg((F.count("*") * sum(len(r[4]) for r in RULES)).alias("hypotheses"))
+    hypotheses = tallies.select("stratum").distinct().count() * sum(len(r[4]) for r in RULES)
     share, grids = risk / len(RULES), {r[0]: r[4] for r in RULES}
 
     def choose(tally: pd.DataFrame) -> pd.DataFrame:
         stratum, rule = tally["stratum"].iloc[0], tally["rule"].iloc[0]
-        level, n = delta / tally["hypotheses"].iloc[0], int(tally["good"].sum())
+        level, n = delta / max(hypotheses, 1), int(tally["good"].sum())
         best = None
         for at, cutoff in enumerate(grids[rule]):
             over = tally[tally["above"] > at]
@@ -129,7 +129,7 @@ def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
                 best = gain, cutoff
         return pd.DataFrame([(stratum, rule, best[1])] if best else [], columns=["stratum", "rule", "cutoff"])
 
-    return tallies.crossJoin(F.broadcast(hypotheses)).groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff long")
+    return tallies.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff long")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:

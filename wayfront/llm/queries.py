@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality
+from . import bpe, mixing, pii, quality
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_quality"] = quality.ORACLE_SQL
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.taken(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_mixing"] = mixing.ORACLE_SQL

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality
+from . import bpe, minhash, mixing, pii, quality
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mixing"] = mixing.ORACLE_SQL
+
+
+@query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are alike."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, per_cent=80)
+
+
+ORACLES["op4_minhash"] = minhash.oracle_sql(2, 80)

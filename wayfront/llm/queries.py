@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, pii, quality
+from . import bpe, minhash, mixing, pii, quality, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_minhash"] = minhash.oracle_sql(2, 80)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a network trained on the folds that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, pii, quality, token_files, toxicity
+from . import bpe, media, minhash, mixing, pii, quality, token_files, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text written to binary files and read back."""
     return token_files.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a media payload, stored in deduplicated chunks and read back."""
+    return media.round_trip(read_table(spark, sf_dir, "documents"))

@@ -307,6 +307,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that name their component, unchanged.
+
+    Rows without doc_id stay, and so do all rows of a doc_id of which one is kept.
+    """
+    found = near_duplicates(docs, size, per_cent).where("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def oracle_sql(size: int, per_cent: int) -> str:
     """All pairs with a common shingle, in DuckDB's SQL."""
     gram = " || ' ' || ".join(["w[i]", *[f"w[i + {k}]" for k in range(1, size)]])

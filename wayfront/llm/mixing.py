@@ -48,7 +48,7 @@ CELL = 4096
 
 
 class Plan(NamedTuple):
-    positions: DataFrame  # doc_id, skey, size, start, and what else was asked for
+    positions: DataFrame  # doc_id, skey, size, start, and carried columns
     sources: DataFrame  # skey, rank, source_size, target, blocks, quota, base
     slots: DataFrame  # skey, block, turn, slot, shard
     pieces: DataFrame  # skey, block, start (of the document), first (word in it), n_words
@@ -81,6 +81,7 @@ def permuted_sql(table: str, column: str, key: str, n: str) -> str:
     return table
 
 
+WORD_PATTERN_SQL = WORD_PATTERN.replace("\\", "\\\\")
 SKEY = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
 HASH = f"((((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME}) * {A} + 12345) % {PRIME}"
 
@@ -131,20 +132,21 @@ def plan(docs: DataFrame, *carry: str) -> Plan:
     slots = items.select("skey", "rank", "blocks", F.expr("item div blocks").alias("turn"), F.expr("item % blocks").alias("block"), (F.col("base") + F.col("item")).alias("slot"))
     slot, block = permuted("slot", f"{SEED}L", f"{max(n_slots, 1)}L"), permuted("block", f"(rank * {CAP + 1} + turn)", "blocks")
     slots = slots.select("skey", F.expr(block).alias("block"), "turn", F.expr(slot).alias("slot")).withColumn("shard", F.expr(f"slot div {SHARD_SLOTS}"))
+    return Plan(positions, sources, slots, pieces_of(positions))
+
+
+def pieces_of(positions: DataFrame) -> DataFrame:
+    """A row for each document and block that overlap."""
     spread = positions.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {BLOCK_WORDS}, (start + size - 1) div {BLOCK_WORDS})")))
     first = F.expr(f"greatest(block * {BLOCK_WORDS} - start, 0L)")
-    pieces = spread.select("skey", "block", "doc_id", "start", first.alias("first"), (F.expr(f"least((block + 1) * {BLOCK_WORDS} - start, size)") - first).alias("n_words"), *carry)
-    return Plan(positions, sources, slots, pieces)
+    return spread.select("skey", "block", "doc_id", "start", first.alias("first"), (F.expr(f"least((block + 1) * {BLOCK_WORDS} - start, size)") - first).alias("n_words"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: its size, its source's size and target, and the words that the mix takes of it."""
     p = plan(docs)
     positions = cut(p.positions)
-    spread = positions.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {BLOCK_WORDS}, (start + size - 1) div {BLOCK_WORDS})")))
-    words = F.expr(f"least((block + 1) * {BLOCK_WORDS}, start + size) - greatest(block * {BLOCK_WORDS}, start)")
-    pieces = spread.select("skey", "block", "start", words.alias("n_words"))
-    found = pieces.join(p.slots.select("skey", "block"), ["skey", "block"]).groupBy("skey", "start").agg(F.sum("n_words").alias("taken"))
+    found = pieces_of(positions).join(p.slots.select("skey", "block"), ["skey", "block"]).groupBy("skey", "start").agg(F.sum("n_words").alias("taken"))
     keyed = positions.withColumn("key", F.when(F.col("size") > 0, F.col("start")))
     out = keyed.join(found.withColumnRenamed("start", "key"), ["skey", "key"], "left").join(p.sources.select("skey", "source_size", "target"), "skey")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -164,8 +166,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     carry = [c for c in names if c not in ("doc_id", "text")]
     renamed = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     p = plan(renamed, "text", *[f"_c{i}" for i in range(len(carry))])
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("n_words").cast("int"))
-    pieces = p.pieces.withColumn("text", F.array_join(words, " "))
+    # the words of a text are found once, and each piece joins its own slice of them
+    cut_up = rf"""flatten(transform(array(regexp_extract_all(text, '{WORD_PATTERN_SQL}', 0)), w -> transform(
+        sequence(start div {BLOCK_WORDS}, (start + size - 1) div {BLOCK_WORDS}), b -> named_struct('block', b, 'text', array_join(
+            slice(w, cast(greatest(b * {BLOCK_WORDS} - start, 0L) + 1 as int), cast(least((b + 1) * {BLOCK_WORDS} - start, size) - greatest(b * {BLOCK_WORDS} - start, 0L) as int)), ' ')))))"""
+    kept = [f"_c{i}" for i in range(len(carry))]
+    pieces = p.positions.where("size > 0").select("skey", "doc_id", *kept, F.inline(F.expr(cut_up)))
     out = pieces.join(p.slots.select("skey", "block", "slot"), ["skey", "block"])
     back = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
     if "n_chars" in back:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, mixing, pii, quality, token_files, toxicity
+from . import bpe, html_extract, media, minhash, mixing, pii, quality, token_files, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a media payload, stored in deduplicated chunks and read back."""
     return media.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))

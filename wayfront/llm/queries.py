@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, media, minhash, mixing, pii, quality, token_files, toxicity
+from . import bpe, html_extract, media, minhash, mixing, passages, pii, quality, token_files, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least fifty words that documents repeat."""
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))

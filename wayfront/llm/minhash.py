@@ -1,17 +1,18 @@
 """Near duplicates by b-bit MinHash.
 
-Each document's shingle set gives 128 minima.  Before they are cut to their low bits,
-four at a time make the keys of 32 bands; then 2 bits of each are packed into four
-longs.  Documents with equal sets are one class.  In every bucket of a band the least
+Each document's shingle set gives 512 minima.  Before they are cut to their low bits,
+the first 128 make the keys of 32 bands, four at a time; then 2 bits of each are packed
+into sixteen longs.  Documents with equal sets are one class.  In every bucket of a band the least
 class leads: the others are compared with it, by the collision-corrected estimate from
 bit counts, and then on the full sets.  Links give components.  A bucket whose classes
-lie in more than one component goes on: all its pairs across components are estimated,
-in blocks of bounded size, and those that may reach the threshold are confirmed too.
-So no link between classes that share a bucket is lost, and no bucket is paired out
-that one leader has settled.
+lie in more than one component goes on: its classes outside the bucket's main component
+are estimated against all its classes, in blocks of bounded size, and those pairs that
+may reach the threshold and still lie in different components are confirmed too, the
+best of each class and component first.  So no link between classes that share a bucket
+is lost, and no bucket is paired out that leaders have settled.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 < 5e-8, and
-its estimate falls below ``LEAST_ESTIMATE`` with a probability of about 1e-8.
+its estimate falls below ``LEAST_ESTIMATE`` with a probability below 1e-6.
 
 Defined results: null and empty texts, and texts without words, have no shingles and
 link with nothing; a text with fewer words than a shingle has one, its whole sequence;
@@ -35,13 +36,15 @@ from pyspark.sql import functions as F
 from .common import by_batch, cut, small_batches
 from .components import components
 
-HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
+HASHES = 512
+BANDS, ROWS = 32, 4
 LOW_BITS = 2
-#: Estimates below this are not confirmed: about six standard deviations below 0.8.
-LEAST_ESTIMATE = 0.55
+#: Estimates below this are not confirmed: about five standard deviations below 0.8.
+LEAST_ESTIMATE = 0.7
 #: Members of a bucket that are compared in one block.
 BLOCK = 256
+#: Full sets of one side of a group of pairs.
+SETS = 64
 #: Bytes of texts that are hashed at once.
 GROUP_BYTES = 1 << 20
 #: Bytes of a text, cut at white space, that are hashed at once.
@@ -159,7 +162,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(low: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band (column) of each set (row)."""
     c = constants()["bands"]
-    wide = low.astype(U64).reshape(BANDS, ROWS, -1)
+    wide = low[: BANDS * ROWS].astype(U64).reshape(BANDS, ROWS, -1)
     keys = c[:, ROWS][:, None] + sum(wide[:, r, :] * (c[:, r][:, None] | U64(1)) for r in range(ROWS))
     return mix64(mix64(keys) + c[:, 0][:, None]).T.view(np.int64)
 
@@ -220,63 +223,94 @@ CONFIRMED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold.  Only texts of classes in a pair are read again."""
-    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    """Pairs whose full sets reach the threshold.  Only texts of classes in a pair are read again.
+
+    Classes are dealt into blocks of about ``SETS``; a group has the sets of two blocks, once each,
+    and their pairs.  So a set is sent once for each other block, not once for each pair.
+    """
+    pairs = pairs.select("a", "b")
+    needed = cut(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
+    blocks = max(1, -(-needed.count() // SETS))
     owners = needed.join(classes.select("class", "owner"), "class")
     found = docs.join(owners, docs["doc_id"].eqNullSafe(owners["owner"]))
+    schema = pa.schema([("class", pa.binary()), ("hashes", pa.binary())])
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [s.tobytes() for s in shingle_sets([t or "" for t in batch["text"].to_pylist()], size)]
         own = [hashlib.blake2b(s, digest_size=16).digest() for s in out]
         good = [i for i, (c, d) in enumerate(zip(batch["class"].to_pylist(), own, strict=True)) if c == d]
-        return pa.record_batch([pa.array([own[i] for i in good], pa.binary()), pa.array([out[i] for i in good], pa.binary())], pa.schema([("class", pa.binary()), ("hashes", pa.binary())]))
+        return pa.record_batch([pa.array([own[i] for i in good], pa.binary()), pa.array([out[i] for i in good], pa.binary())], schema)
 
-    schema = pa.schema([("class", pa.binary()), ("hashes", pa.binary())])
     full = found.select("class", "text").mapInArrow(by_batch(schema, sets), "class binary, hashes binary").dropDuplicates(["class"])
-    side = lambda s: full.select(F.col("class").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(batch["hashes_a"].to_pylist(), batch["hashes_b"].to_pylist(), strict=True):
-            p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            good.append(100 * both >= per_cent * (len(p) + len(q) - both))
-        mask = pa.array(good, pa.bool_())
-        return pa.record_batch([batch["a"].cast(pa.binary()).filter(mask), batch["b"].cast(pa.binary()).filter(mask)], CONFIRMED)
-
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return joined.mapInArrow(by_batch(CONFIRMED, check), "a binary, b binary")
+    block = lambda c: F.expr(f"pmod(xxhash64({c}), {blocks})")
+    dealt = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b")
+    wanted = dealt.select("p", "q", F.col("a").alias("class")).unionByName(dealt.select("p", "q", F.col("b").alias("class"))).distinct()
+    rows = wanted.join(full, "class").select("p", "q", F.col("class").alias("a"), F.lit(None).cast("binary").alias("b"), "hashes")
+    rows = rows.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = None, {}
+        for batch in batches:
+            good = []
+            for p, q, a, b, hashes in zip(*(batch[c].to_pylist() for c in ("p", "q", "a", "b", "hashes")), strict=True):
+                if group != (p, q):
+                    group, known = (p, q), {}
+                if b is None:
+                    known[a] = np.frombuffer(hashes, U64)
+                elif a in known and b in known:  # a class is unknown only if its document is gone
+                    x, y = known[a], known[b]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= per_cent * (len(x) + len(y) - both):
+                        good.append((a, b))
+            yield pa.record_batch([pa.array([g[i] for g in good], pa.binary()) for i in (0, 1)], CONFIRMED)
+
+    # within a group the sets come first
+    ordered = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull())
+    return ordered.mapInArrow(check, "a binary, b binary")
 
 
 def _blocks(members: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs of classes in a bucket, but in different components, that may be linked.
+    """Pairs (a, b) of classes in a bucket, but in different components, that may be linked, and their estimate.
 
-    A bucket is cut into blocks of about ``BLOCK`` members, and each two blocks meet in
-    a group of their own; a group holds two blocks however large its bucket is.
+    Most members of a bucket share a component by now.  Only the others, its minor
+    members, can have links that are missing: they meet all members.  Minor members and
+    all members are each cut into blocks of about ``BLOCK``, and a group holds one block
+    of either kind, however large its bucket is.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("members"))
-    dealt = members.join(sizes, "key").withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}")).withColumn("own", F.expr("pmod(xxhash64(class), blocks)"))
-    met = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "root", "bits", "n_shingles")
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("members"))
+    sizes = sizes.select("key", F.col("major.root").alias("major"), F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.expr(f"(members - major.n + {BLOCK - 1}) div {BLOCK}").alias("minor_blocks"))
+    dealt = members.join(sizes, "key").withColumn("minor", F.col("root") != F.col("major"))
+    row = ["key", "class", "root", "bits", "n_shingles"]
+    everyone = dealt.select(*row, F.lit(False).alias("minor"), F.expr("pmod(xxhash64(class), blocks)").alias("block"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("minor_block"))
+    few = dealt.where("minor").select(*row, F.lit(True).alias("minor"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(class, 1), minor_blocks)").alias("minor_block"))
     odd = U64(0x5555555555555555)
-    most = HASHES * (1 - (LEAST_ESTIMATE * (1 - 2.0**-LOW_BITS) + 2.0**-LOW_BITS))
+    chance = 2.0**-LOW_BITS
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        left, right = (group[group["own"] == low], group[group["own"] == high]) if low != high else (group, group)
+        left, right = group[group["minor"]], group[~group["minor"]]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": [], "near": []})
         bits = [np.array(side["bits"].tolist(), np.int64).view(U64) for side in (left, right)]
         n = [side["n_shingles"].to_numpy() for side in (left, right)]
         roots = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
         apart = bits[0][:, None, :] ^ bits[1][None, :, :]
         missed = np.bitwise_count((apart | (apart >> U64(1))) & odd).sum(2)
-        good = (missed <= most) & (roots[: len(left)][:, None] != roots[len(left) :][None, :])
+        near = (1 - missed / HASHES - chance) / (1 - chance)
+        good = (near >= LEAST_ESTIMATE) & (roots[: len(left)][:, None] != roots[len(left) :][None, :])
         good &= 100 * np.minimum(n[0][:, None], n[1][None, :]) >= per_cent * np.maximum(n[0][:, None], n[1][None, :])
         i, j = np.nonzero(good)
-        return pd.DataFrame({"a": left["class"].to_numpy()[i], "b": right["class"].to_numpy()[j]})
+        return pd.DataFrame({"a": left["class"].to_numpy()[i], "b": right["class"].to_numpy()[j], "near": near[i, j]})
 
-    pairs = met.groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = everyone.unionByName(few).groupBy("key", "block", "minor_block").applyInPandas(compare, "a binary, b binary, near double")
+    return pairs.groupBy("a", "b").agg(F.max("near").alias("near"))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, with root_a and root_b."""
+    side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.withColumns({f"root_{s}": F.coalesce(f"root_{s}", s) for s in "ab"}).where("root_a <> root_b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
@@ -290,14 +324,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     keys = classes.select("class", F.explode("bands").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("class").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
     shared = cut(keys.join(leaders, "key"))
-    stars = shared.where("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
-    links = cut(_confirmed(cut(_possible(stars, classes, per_cent)), docs, classes, size, per_cent))
+    stars = shared.where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
+    stars = cut(stars)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return cut(_confirmed(pairs, docs, classes, size, per_cent))
+
+    # each class and the leader that it meets most often; then its other leaders, if they are in other components
+    closest = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    links = confirm(cut(_possible(closest, classes, per_cent)))
+    roots = components(links)
+    links = links.unionByName(confirm(cut(_possible(_across(stars, roots).select("a", "b"), classes, per_cent))))
     roots = components(links)
+    # buckets that still lie in several components: the best pairs of each class and component, then all that is left
     named = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     members = named.join(open_keys, "key").join(classes.select("class", "bits", "n_shingles"), "class")
-    more = cut(_blocks(members, per_cent))
-    links = links.unionByName(_confirmed(more, docs, classes, size, per_cent))
+    more = cut(_across(_blocks(members, per_cent), roots))
+    best = more.groupBy("a", "root_b").agg(F.max(F.struct("near", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    links = links.unionByName(confirm(cut(best)))
+    roots = components(links)
+    links = links.unionByName(confirm(cut(_across(more.select("a", "b"), roots).select("a", "b"))))
     roots = components(links)
     named = classes.select("class", "owner").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "owner", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("component_id"))

@@ -185,7 +185,7 @@ def write(docs: DataFrame, path: str) -> None:
             if len(alone) < len(parts):
                 ends = np.cumsum([len(parts[i]) for i in alone]).tolist()
                 blob = press.compress(b"".join(parts[i] for i in alone))
-            if alone:
+            if alone:  # a chunk that the payload repeats is stored at its first place
                 found.append((key, None, alone, ends, digests, blob))
             found += [(None, digests[o["position"]], None, None, None, press.compress(parts[o["position"]])) for o in own if o["lent"]]
         return pa.record_batch([pa.array([r[i] for r in found], f.type) for i, f in enumerate(STORED)], STORED)
@@ -200,9 +200,12 @@ class Corrupt(ValueError):
 
 
 def verified(key: bytes, parts: list[bytes], digests: list[bytes]) -> bytes:
-    """The payload of chunks in order, if all digests agree."""
-    data = b"".join(parts)
-    if [digest(p) for p in parts] != digests or payload_id(data) != key:
+    """The payload of the listed chunks in order, each found by its digest among ``parts``, if the whole agrees."""
+    by_digest = {digest(p): p for p in parts}
+    if not by_digest.keys() >= set(digests):
+        raise Corrupt(key.hex())
+    data = b"".join(map(by_digest.__getitem__, digests))
+    if payload_id(data) != key:
         raise Corrupt(key.hex())
     return data
 
@@ -235,8 +238,8 @@ def payloads(spark: SparkSession, path: str, use: Callable[[bytes, bytes], tuple
             found.append(use(key, verified(key, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], digests)))
         return pa.record_batch([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema)
 
-    whole = mine.where("size(positions) = size(digests)").select("payload_id", "ends", "digests", "blob").mapInArrow(by_batch(schema, rebuild), ddl)
-    partly = mine.where("size(positions) < size(digests)")
+    whole = mine.where("size(positions) = size(array_distinct(digests))").select("payload_id", "ends", "digests", "blob").mapInArrow(by_batch(schema, rebuild), ddl)
+    partly = mine.where("size(positions) < size(array_distinct(digests))")
     lent = store.where("digest is not null").select("digest", "blob").dropDuplicates(["digest"])
     lists = spark.read.parquet(f"{path}/documents").groupBy("payload_id").agg(F.first("digests").alias("digests"))
     needed = lists.select("payload_id", "digests", F.posexplode("digests").alias("position", "digest")).join(lent, "digest")
@@ -246,12 +249,11 @@ def payloads(spark: SparkSession, path: str, use: Callable[[bytes, bytes], tuple
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         expand, key, digests = tools(shared.value)[1], bytes(group["payload_id"].iloc[0]), [bytes(d) for d in group["digests"].iloc[0]]
-        parts: list[bytes] = [b""] * len(digests)
-        for positions, ends, blob in zip(group["positions"], group["ends"], group["blob"], strict=True):
+        parts: list[bytes] = []
+        for ends, blob in zip(group["ends"], group["blob"], strict=True):
             data = expand.decompress(bytes(blob))
             ends = [len(data)] if ends is None else list(ends)
-            for i, a, b in zip(positions, [0, *ends[:-1]], ends, strict=True):
-                parts[i] = data[a:b]
+            parts += [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
         return pd.DataFrame([use(key, verified(key, parts, digests))], columns=schema.names)
 
     return whole.unionByName(rows.groupBy("payload_id").applyInPandas(gather, ddl))

@@ -33,10 +33,14 @@ from . import rans
 from .common import Memo, shared_path, small_batches, vocabulary
 
 SEGMENT_IDS = 1 << 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 #: Characters of texts that are encoded together.
 GROUP_CHARS = 1 << 20
 
+#: Words that the library reads as lines of one text.
+LINES = 4096
+
+WHITE = re.compile(r"\s")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = re.compile(r"\s | \s|\A | \Z")
 
@@ -52,12 +56,33 @@ class ByteLevel:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.inner = Memo(lambda words: self.whole([" " + w for w in words]), MEMO_WORDS)
+        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
+        self.inner = Memo(self.after_space, MEMO_WORDS)
         self.outer = Memo(self.whole, MEMO_WORDS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it.
+
+        The library reads many words as the lines of one text: a line's end before a space is a
+        word of its own, whose id no other part of such a text can have.
+        """
+        plain = [w for w in words if not WHITE.search(w)]
+        odd = [w for w in words if WHITE.search(w)]
+        found = dict(zip(odd, self.whole([" " + w for w in odd]), strict=True))
+        for at in range(0, len(plain), LINES):
+            some = plain[at : at + LINES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([f" {w}\n" for w in some])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line[0])
+            if len(self.line) != 1 or len(ends) != len(some):
+                found.update(zip(some, self.whole([" " + w for w in some]), strict=True))
+                continue
+            data, places = ids.tobytes(), (4 * ends).tolist()
+            found.update(zip(some, [data[a:b] for a, b in zip([0, *[p + 4 for p in places[:-1]]], places, strict=True)], strict=True))
+        return [found[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         group: list[str] = []

@@ -33,14 +33,13 @@ from . import rans
 from .common import Memo, shared_path, small_batches, vocabulary
 
 SEGMENT_IDS = 1 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 #: Characters of texts that are encoded together.
 GROUP_CHARS = 1 << 20
 
 #: Words that the library reads as lines of one text.
 LINES = 4096
 
-WHITE = re.compile(r"\s")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = re.compile(r"\s | \s|\A | \Z")
 
@@ -69,8 +68,8 @@ class ByteLevel:
         The library reads many words as the lines of one text: a line's end before a space is a
         word of its own, whose id no other part of such a text can have.
         """
-        plain = [w for w in words if not WHITE.search(w)]
-        odd = [w for w in words if WHITE.search(w)]
+        plain = [w for w in words if w.isprintable() and " " not in w]  # so without white space
+        odd = [w for w in words if not w.isprintable() or " " in w]
         found = dict(zip(odd, self.whole([" " + w for w in odd]), strict=True))
         for at in range(0, len(plain), LINES):
             some = plain[at : at + LINES]

@@ -102,7 +102,7 @@ def random_dag(spark: SparkSession, n: int, seed: int, name: str = "dag") -> Dat
     pairs = spark.range(1, n).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.sequence(F.col("src") + 1, F.lit(n).cast("long"))))
     draw = lambda k: F.pmod(F.xxhash64("src", "dst", F.lit(seed), F.lit(k)), F.lit(20))
     kept = pairs.where((F.col("dst") == F.col("src") + 1) | (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(100)) < 45))
-    return kept.select(F.lit(name).alias("dataset"), "src", "dst", *[(draw(k) + (k != 3)).cast("long").alias(f"c{k}") for k in range(1, 5)], F.lit(1).cast("long").alias("c5"), (F.col("src") * n + F.col("dst")).alias("edge_seq"))
+    return kept.select(F.lit(name).alias("dataset"), "src", "dst", *[(draw(k) + int(k != 3)).cast("long").alias(f"c{k}") for k in range(1, 5)], F.lit(1).cast("long").alias("c5"), (F.col("src") * n + F.col("dst")).alias("edge_seq"))
 
 
 def commit(rows: DataFrame, path: str, keys: list[str], exact_only: bool = True) -> None:

@@ -86,6 +86,11 @@ class Tree(HTMLParser):
             if tag in BLOCKS:
                 self.flush()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` begins a comment up to the next ``>``, whatever follows."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.buffer.append(" ")

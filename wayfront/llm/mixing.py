@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, cut, word_count
@@ -82,7 +82,11 @@ def permuted_sql(table: str, column: str, key: str, n: str) -> str:
 
 
 WORD_PATTERN_SQL = WORD_PATTERN.replace("\\", "\\\\")
-SKEY = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+def source_key() -> Column:
+    """Sources as text that sorts like them; the null source is ''."""
+    return F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+
+
 HASH = f"((((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME}) * {A} + 12345) % {PRIME}"
 
 
@@ -121,7 +125,7 @@ def plan(docs: DataFrame, *carry: str) -> Plan:
 
     ``carry`` names columns that ``positions`` and ``pieces`` keep beside the measures.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), SKEY.alias("skey"), word_count(F.col("text")).alias("size"), *carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("skey"), word_count(F.col("text")).alias("size"), *carry)
     sized = rows if carry else cut(rows)
     small = cut(sized.select("doc_id", "skey", "size")) if carry else sized
     sources = cut(_sources(small))

@@ -119,6 +119,8 @@ def decode(data: bytes, from_block: int = 0, to_block: int | None = None) -> np.
         v[low] = (v[low] << U64(32)) | words[np.minimum(which[low], len(words) - 1)]
         next_word[:on] += low.sum(1)
         x[:on] = v
+    if (x != LOW).any():  # every lane ends where its encoder began
+        raise Corrupt("the words of a block are damaged")
     out = out.reshape(-1)[: min(n, to_block * size) - from_block * size]
     for b in range(count):
         if zlib.crc32(out[b * size : (b + 1) * size]) != crcs[from_block + b]:

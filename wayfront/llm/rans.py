@@ -32,7 +32,14 @@ class Corrupt(ValueError):
 
 def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their frequencies (each from 1 to 2^20 - 1, in sum 2^20), and the symbol number of each id."""
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if int(ids.max()) < 1 << BITS:  # count instead of sorting
+        seen = np.bincount(ids)
+        symbols = np.flatnonzero(seen).astype(np.uint32)
+        counts, number = seen[symbols], np.zeros(len(seen), np.int64)
+        number[symbols] = np.arange(len(symbols))
+        index = number[ids]
+    else:
+        symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     if len(symbols) == 1:  # a second symbol, never used, keeps the only one's frequency below 2^20
         symbols, counts = np.array([symbols[0], symbols[0] ^ 1], np.uint32), np.array([counts[0], 0])
     if len(symbols) > 1 << (BITS - 1):

@@ -18,6 +18,7 @@ text is one document in one segment, however many blocks that takes.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import zlib
@@ -96,9 +97,10 @@ class ByteLevel:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(a in t for a in self.added) else BETWEEN.split(t) if IRREGULAR.search(t) else t.split(" ") for t in texts]
-        first = self.outer.get({s[0] for s in split if s})
-        rest = self.inner.get({w for s in split if s for w in s[1:]}).__getitem__
-        return [b"".join([first[s[0]], *map(rest, s[1:])]) if s else self.whole([t])[0] for s, t in zip(split, texts, strict=True)]
+        starts = [s.pop(0) if s else "" for s in split]
+        first = self.outer.get(set(starts))
+        rest = self.inner.get(set().union(*[s for s in split if s])).__getitem__
+        return [first[f] + b"".join(map(rest, s)) if s is not None else self.whole([t])[0] for f, s, t in zip(starts, split, texts, strict=True)]
 
 
 @functools.lru_cache(2)
@@ -117,6 +119,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int) -> None
     small_batches(spark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # a worker here makes no cycles, and many objects
         coder, end = byte_level(shared.value), np.array([end_id], "<u4").tobytes()
         part, segment = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []

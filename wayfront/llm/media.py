@@ -173,7 +173,7 @@ def write(docs: DataFrame, path: str) -> None:
     places = manifests.select("payload_id", F.posexplode("digests").alias("position", "digest"))
     owners = places.groupBy("digest").agg(F.min(F.struct("payload_id", "position")).alias("first"), (F.min("payload_id") != F.max("payload_id")).alias("lent"))
     owned = owners.groupBy(F.col("first.payload_id").alias("payload_id")).agg(F.collect_list(F.struct(F.col("first.position").alias("position"), "lent")).alias("own"))
-    bring = manifests.join(owned, "payload_id").select("payload_id", "doc_id", "digests", "own")
+    bring = manifests.join(owned.hint("merge"), "payload_id").select("payload_id", "doc_id", "digests", "own")
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -191,7 +191,7 @@ def write(docs: DataFrame, path: str) -> None:
         return pa.record_batch([pa.array([r[i] for r in found], f.type) for i, f in enumerate(STORED)], STORED)
 
     blobs = rows.mapInArrow(by_batch(BLOBS, squeeze), "doc_id long, payload_id binary, blob binary").withColumnRenamed("doc_id", "from_doc")
-    chosen = blobs.join(bring, (blobs["payload_id"] == bring["payload_id"]) & blobs["from_doc"].eqNullSafe(bring["doc_id"])).select(blobs["payload_id"], "blob", "digests", "own")
+    chosen = blobs.join(bring.hint("merge"), (blobs["payload_id"] == bring["payload_id"]) & blobs["from_doc"].eqNullSafe(bring["doc_id"])).select(blobs["payload_id"], "blob", "digests", "own")
     chosen.mapInArrow(by_batch(STORED, keep), STORED_DDL).write.option("compression", "none").parquet(f"{path}/chunks")
 
 
@@ -242,7 +242,7 @@ def payloads(spark: SparkSession, path: str, use: Callable[[bytes, bytes], tuple
     partly = mine.where("size(positions) < size(array_distinct(digests))")
     lent = store.where("digest is not null").select("digest", "blob").dropDuplicates(["digest"])
     lists = spark.read.parquet(f"{path}/documents").groupBy("payload_id").agg(F.first("digests").alias("digests"))
-    needed = lists.select("payload_id", "digests", F.posexplode("digests").alias("position", "digest")).join(lent, "digest")
+    needed = lists.select("payload_id", "digests", F.posexplode("digests").alias("position", "digest")).join(lent.hint("merge"), "digest")
     empty = lambda t: F.lit(None).cast(t)
     rows = needed.select("payload_id", F.array("position").alias("positions"), empty("array<long>").alias("ends"), "digests", "blob")
     rows = rows.unionByName(partly.select("payload_id", "positions", "ends", "digests", "blob"))
@@ -264,7 +264,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("payload_id", pa.binary()), ("payload", pa.binary())])
     found = payloads(spark, path, lambda key, data: (key, data), schema, "payload_id binary, payload binary").dropDuplicates(["payload_id"])
     documents = spark.read.parquet(f"{path}/documents").select("doc_id", "payload_id", "n_bytes")
-    return documents.join(found, "payload_id").select("doc_id", F.expr("cast(substring(payload, 1, cast(n_bytes as int)) as string)").alias("text"))
+    return documents.join(found.hint("merge"), "payload_id").select("doc_id", F.expr("cast(substring(payload, 1, cast(n_bytes as int)) as string)").alias("text"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -274,4 +274,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     write(docs, path)
     found = payloads(spark, path, measure, MEASURED, MEASURED_DDL).dropDuplicates(["payload_id"])
     documents = spark.read.parquet(f"{path}/documents").select("doc_id", "payload_id", "n_bytes")
-    return documents.join(found, "payload_id").select("doc_id", "n_bytes", *MEASURED.names[1:])
+    return documents.join(found.hint("merge"), "payload_id").select("doc_id", "n_bytes", *MEASURED.names[1:])

@@ -13,7 +13,8 @@ Permutations are swap-or-not networks (Hoang, Morris and Rogaway, 2012): a bijec
 of any range [0, n) by integer arithmetic, with neither a sort nor a table.
 
 Positions within a source are prefix sums in three levels over hashed bins of
-documents, so that a source that holds most rows is not summed in one task.
+documents, so that a source that holds most rows is not summed in one task.  Joins whose
+sides both grow with the input are merge joins, as estimates of written tables may mislead.
 
 Defined results: null text has no words; a null source is a source, the last one;
 a document without words takes 0; a source without words has target 0; repeated rows
@@ -101,7 +102,7 @@ def _positions(rows: DataFrame, n_rows: int) -> DataFrame:
     by_bin = by_bin.withColumn("bin_start", F.expr(before.format("words", "skey, super", "bin")))
     starts = by_bin.join(by_super, ["skey", "super"]).select("skey", "bin", (F.col("super_start") + F.col("bin_start")).alias("bin_start"))
     rows = rows.withColumn("in_bin", F.expr(before.format("size", "skey, bin", "doc_id, size")))
-    return rows.join(starts, ["skey", "bin"]).withColumn("start", F.col("bin_start") + F.col("in_bin")).drop("bin", "in_bin", "bin_start")
+    return rows.join(starts.hint("merge"), ["skey", "bin"]).withColumn("start", F.col("bin_start") + F.col("in_bin")).drop("bin", "in_bin", "bin_start")
 
 
 def _sources(sized: DataFrame) -> DataFrame:
@@ -150,9 +151,9 @@ def taken(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: its size, its source's size and target, and the words that the mix takes of it."""
     p = plan(docs)
     positions = cut(p.positions)
-    found = pieces_of(positions).join(p.slots.select("skey", "block"), ["skey", "block"]).groupBy("skey", "start").agg(F.sum("n_words").alias("taken"))
+    found = pieces_of(positions).join(p.slots.select("skey", "block").hint("merge"), ["skey", "block"]).groupBy("skey", "start").agg(F.sum("n_words").alias("taken"))
     keyed = positions.withColumn("key", F.when(F.col("size") > 0, F.col("start")))
-    out = keyed.join(found.withColumnRenamed("start", "key"), ["skey", "key"], "left").join(p.sources.select("skey", "source_size", "target"), "skey")
+    out = keyed.join(found.withColumnRenamed("start", "key").hint("merge"), ["skey", "key"], "left").join(p.sources.select("skey", "source_size", "target"), "skey")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -176,7 +177,7 @@ def mixed(docs: DataFrame) -> DataFrame:
             slice(w, cast(greatest(b * {BLOCK_WORDS} - start, 0L) + 1 as int), cast(least((b + 1) * {BLOCK_WORDS} - start, size) - greatest(b * {BLOCK_WORDS} - start, 0L) as int)), ' ')))))"""
     kept = [f"_c{i}" for i in range(len(carry))]
     pieces = p.positions.where("size > 0").select("skey", "doc_id", *kept, F.inline(F.expr(cut_up)))
-    out = pieces.join(p.slots.select("skey", "block", "slot"), ["skey", "block"])
+    out = pieces.join(p.slots.select("skey", "block", "slot").hint("merge"), ["skey", "block"])
     back = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
     if "n_chars" in back:
         back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -42,7 +42,7 @@ LEAST, MOST = 2 << 10, 64 << 10
 MASK = np.uint64(((1 << 13) - 1) << 51)
 #: Texts that the compressor's dictionary is trained on, their characters at most, and its size.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 8000, 112_640
-LEVEL = 9
+LEVEL = 17
 #: Bytes that a 64-bit gear hash remembers.
 MEMORY = 64
 

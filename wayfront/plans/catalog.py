@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -78,13 +79,11 @@ for _m in (2, 3, 5):
     SQL[f"front{_m}"] = f"select distinct dataset, query_id, {_c} from full_routes a where not exists (from full_routes b where b.dataset = a.dataset and b.query_id = a.query_id and {_dominates('b', 'a', _m)})"
     SQL[f"sky{_m}"] = f"select * from pool a where not exists (from pool b where b.dataset = a.dataset and {_dominates('b', 'a', _m)})"
 
-NEEDS = {name: [other for other in SQL if other != name and f" {other}" in f" {text} ".replace("(", " ").replace(")", " ").replace("\n", " ") and __import__("re").search(rf"\b(from|join) {other}\b", text)] for name, text in SQL.items()}
+NEEDS = {name: [other for other in SQL if other != name and re.search(rf"\b(from|join) {other}\b", text)] for name, text in SQL.items()}
 
 
 def sql(text: str) -> str:
     """``text`` with the tables that it reads as common table expressions."""
-    import re
-
     order: list[str] = []
 
     def visit(name: str) -> None:

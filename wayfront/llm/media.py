@@ -112,8 +112,11 @@ def features(data: bytes) -> str:
 
 def dictionary(docs: DataFrame) -> bytes:
     """A zstd dictionary trained on at most ``SAMPLE`` texts (those of least hash) of at most ``SAMPLE_CHARS`` characters."""
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").withColumn("draw", F.xxhash64("text")).orderBy("draw").limit(SAMPLE).select("text").collect()
-    texts = [r["text"].encode() for r in rows]
+    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").withColumn("draw", F.xxhash64("text"))
+    # the hashes are chosen first, so that no task sends texts that are not in the sample
+    last = rows.select("draw").distinct().orderBy("draw").limit(SAMPLE).agg(F.max("draw")).first()[0]
+    found = rows.where(F.col("draw") <= last).groupBy("draw").agg(F.min("text").alias("text")).collect() if last is not None else []
+    texts = [r["text"].encode() for r in sorted(found)]
     if sum(map(len, texts)) < 8 * DICTIONARY_BYTES:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()

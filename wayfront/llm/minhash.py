@@ -222,16 +222,9 @@ def _possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
 CONFIRMED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold.  Only texts of classes in a pair are read again.
-
-    Classes are dealt into blocks of about ``SETS``; a group has the sets of two blocks, once each,
-    and their pairs.  So a set is sent once for each other block, not once for each pair.
-    """
-    pairs = pairs.select("a", "b")
-    needed = cut(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
-    blocks = max(1, -(-needed.count() // SETS))
-    owners = needed.join(classes.select("class", "owner"), "class")
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """class and hashes (its full set) of the ``wanted`` classes, from the texts of their owners."""
+    owners = wanted.join(classes.select("class", "owner"), "class")
     found = docs.join(owners, docs["doc_id"].eqNullSafe(owners["owner"]))
     schema = pa.schema([("class", pa.binary()), ("hashes", pa.binary())])
 
@@ -241,7 +234,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
         good = [i for i, (c, d) in enumerate(zip(batch["class"].to_pylist(), own, strict=True)) if c == d]
         return pa.record_batch([pa.array([own[i] for i in good], pa.binary()), pa.array([out[i] for i in good], pa.binary())], schema)
 
-    full = found.select("class", "text").mapInArrow(by_batch(schema, sets), "class binary, hashes binary").dropDuplicates(["class"])
+    return found.select("class", "text").mapInArrow(by_batch(schema, sets), "class binary, hashes binary")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold.
+
+    Classes are dealt into blocks of about ``SETS``; a group has the sets of two blocks, once each,
+    and their pairs.  So a set is sent once for each other block, not once for each pair.
+    """
+    pairs = pairs.select("a", "b")
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    blocks = max(1, -(-ends.count() // SETS))
     block = lambda c: F.expr(f"pmod(xxhash64({c}), {blocks})")
     dealt = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b")
     wanted = dealt.select("p", "q", F.col("a").alias("class")).unionByName(dealt.select("p", "q", F.col("b").alias("class"))).distinct()
@@ -326,9 +330,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     shared = cut(keys.join(leaders, "key"))
     stars = shared.where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
     stars = cut(stars)
+    full = cut(_sets(shared.select("class").distinct(), docs, classes, size))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return cut(_confirmed(pairs, docs, classes, size, per_cent))
+        return cut(_confirmed(pairs, full, per_cent))
 
     # each class and the leader that it meets most often; then its other leaders, if they are in other components
     closest = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b"))

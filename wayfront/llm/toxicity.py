@@ -2,7 +2,8 @@
 
 A word's input is the sum of a hashed word embedding and of hashed embeddings of its
 character n-grams with word bounds.  Windows of ``WINDOW`` words, each starting
-``STRIDE`` after the one before, cover a whole text; forward and backward recurrent
+``STRIDE`` (half a window) after the one before, cover a whole text, so a stretch of
+up to WINDOW - STRIDE + 1 words lies whole in one of them; forward and backward recurrent
 units read each window, attention pools their states, and a logistic unit scores it.
 A document's score is its highest window.  Training (numpy, Adam, on the driver) sees
 whole documents and puts the loss on the highest window, as the labels speak of
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import MAX_VOCABULARY_BYTES, by_batch, small_batches
 from .minhash import mix64
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 WIDTH, HIDDEN = 10, 8
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
 GRAMS = (4, 5)

@@ -10,8 +10,10 @@ whole documents and puts the loss on the highest window, as the labels speak of
 documents and not of passages.
 
 The sample for training is bounded: at most ``SAMPLE`` documents of each label, those
-with the least hash of their id, less those of more than ``SAMPLE_WORDS`` words, which
-are left out whole; so the two broadcast tables have at most 2 * SAMPLE ids.  Scoring covers all windows of all texts.
+with the least hash of their id.  A text of more than ``SAMPLE_WORDS`` words gives a run
+of so many of its words, at a place that the hash chooses; as a run may miss what a
+document is labelled toxic for, long toxic texts are drawn after all shorter ones.  The
+broadcast table has at most 2 * SAMPLE ids.  Scoring covers all windows of all texts.
 
 Defined results: null and empty texts have one window without words, whose score comes
 from the bias alone; labels that are null are left out; several labels of one document
@@ -279,10 +281,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Train on a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("draw", F.xxhash64("doc_id"))
-    drawn = known.where("toxic = 0").orderBy("draw").limit(SAMPLE).unionByName(known.where("toxic = 1").orderBy("draw").limit(SAMPLE))
+    count = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (count > SAMPLE_WORDS).alias("long")).groupBy("doc_id").agg(F.max("long").alias("long"))
+    known = known.join(sizes, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    drawn = known.where("toxic = 0").orderBy("draw").limit(SAMPLE).unionByName(known.where("toxic = 1").orderBy("long", "draw").limit(SAMPLE)).drop("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    sample = rows.where(F.regexp_count("text", F.lit(r"\S+")) <= SAMPLE_WORDS).select("draw", "text", "toxic").collect()
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"))
+    run = F.array_join(F.slice(words, F.pmod("draw", count - (SAMPLE_WORDS - 1)).cast("int") + 1, SAMPLE_WORDS), " ")
+    sample = rows.select("draw", F.when(count > SAMPLE_WORDS, run).otherwise(F.col("text")).alias("text"), "toxic").collect()
     sample.sort(key=lambda r: (r["draw"], r["text"]))
     return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample], np.int64))
 

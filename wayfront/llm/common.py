@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and go on from there; ``drop`` deletes it."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing still to be run reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions for what Python workers do after a shuffle: rows are few and small there, so their bytes tell nothing."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -82,6 +97,26 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
+def groups(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Runs of rows with equal integers in ``names``, of batches that are sorted by them; the largest run bounds the memory."""
+    open_run: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names])
+        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(keys[:, a].tolist())
+            if open_run and key != last:
+                yield pa.Table.from_batches(open_run)
+                open_run = []
+            last = key
+            open_run.append(batch.slice(a, b - a))
+    if open_run:
+        yield pa.Table.from_batches(open_run)
+
+
 class Memo:
     """What ``make`` gives for the keys seen lately.
 

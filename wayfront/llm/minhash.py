@@ -2,17 +2,26 @@
 
 Each document's shingle set gives 512 minima.  Before they are cut to their low bits,
 the first 128 make the keys of 32 bands, four at a time; then 2 bits of each are packed
-into sixteen longs.  Documents with equal sets are one class.  In every bucket of a band the least
-class leads: the others are compared with it, by the collision-corrected estimate from
-bit counts, and then on the full sets.  Links give components.  A bucket whose classes
-lie in more than one component goes on: its classes outside the bucket's main component
-are estimated against all its classes, in blocks of bounded size, and those pairs that
-may reach the threshold and still lie in different components are confirmed too, the
-best of each class and component first.  So no link between classes that share a bucket
-is lost, and no bucket is paired out that leaders have settled.
+into sixteen longs.  Documents with equal sets are one class.  In every bucket of a band
+one class leads, the one whose buckets are largest together: where many texts are near
+copies of one, that one.  The others are compared with it, by the collision-corrected
+estimate from bit counts, and then on the full sets.  Links give components.
+
+A bucket whose classes lie in several components stays open.  If it is wide it is dealt
+into finer buckets, by the bits of more functions, which are led in the same way.  What
+is open then is compared whole: classes outside a bucket's main component meet all its
+classes, by estimates, in blocks of bounded size, and those that may reach the threshold
+are confirmed on full sets, in blocks again.  Neither step sends pairs on: the first one
+says which class has to visit which cell (the classes whose first leader is the same),
+the second one gives a visitor's links, one to each component.  So no link between
+classes that share a bucket is lost, and no bucket is paired out that leaders settle.
+
+Keys that many rows share are joined by merge joins, whose hot keys adaptive execution
+splits, and are aggregated before they are shuffled.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 < 5e-8, and
-its estimate falls below ``LEAST_ESTIMATE`` with a probability below 1e-6.
+its estimate falls below ``LEAST_ESTIMATE`` with a probability below 1e-6.  If all its
+buckets are wide, finer ones lose it with a probability below 1e-5.
 
 Defined results: null and empty texts, and texts without words, have no shingles and
 link with nothing; a text with fewer words than a shingle has one, its whole sequence;
@@ -28,12 +37,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, small_batches
+from .common import by_batch, cut, drop, groups, partitions, small_batches
 from .components import components
 
 HASHES = 512
@@ -41,8 +49,12 @@ BANDS, ROWS = 32, 4
 LOW_BITS = 2
 #: Estimates below this are not confirmed: about five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.7
-#: Members of a bucket that are compared in one block.
-BLOCK = 256
+#: Members of a bucket whose estimates are compared in one block; wider buckets are dealt into finer ones first.
+BLOCK = 1024
+#: Hashes of full sets on one side of a group.
+BLOCK_HASHES = 1 << 19
+#: The first of the packed longs that deal a wide bucket anew; those before are of the bands' functions.
+FIRST_LONG = 4
 #: Full sets of one side of a group of pairs.
 SETS = 64
 #: Bytes of texts that are hashed at once.
@@ -220,21 +232,26 @@ def _possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
 
 
 CONFIRMED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+SETS_SCHEMA = pa.schema([("class", pa.binary()), ("hashes", pa.binary())])
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """class and hashes (its full set) of the ``wanted`` classes, from the texts of their owners."""
     owners = wanted.join(classes.select("class", "owner"), "class")
-    found = docs.join(owners, docs["doc_id"].eqNullSafe(owners["owner"]))
-    schema = pa.schema([("class", pa.binary()), ("hashes", pa.binary())])
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [s.tobytes() for s in shingle_sets([t or "" for t in batch["text"].to_pylist()], size)]
         own = [hashlib.blake2b(s, digest_size=16).digest() for s in out]
-        good = [i for i, (c, d) in enumerate(zip(batch["class"].to_pylist(), own, strict=True)) if c == d]
-        return pa.record_batch([pa.array([own[i] for i in good], pa.binary()), pa.array([out[i] for i in good], pa.binary())], schema)
+        asked = batch["class"].to_pylist() if "class" in batch.schema.names else own
+        good = [i for i, (c, d) in enumerate(zip(asked, own, strict=True)) if c == d]
+        return pa.record_batch([pa.array([own[i] for i in good], pa.binary()), pa.array([out[i] for i in good], pa.binary())], SETS_SCHEMA)
 
-    return found.select("class", "text").mapInArrow(by_batch(schema, sets), "class binary, hashes binary")
+    found = docs.join(owners.where("owner is not null").withColumnRenamed("owner", "doc_id"), "doc_id")
+    full = found.select("class", "text").mapInArrow(by_batch(SETS_SCHEMA, sets), "class binary, hashes binary")
+    if not owners.where("owner is null").isEmpty():  # classes of which no row has an id: one row each, by the set itself
+        nameless = docs.where("doc_id is null").select("text").mapInArrow(by_batch(SETS_SCHEMA, sets), "class binary, hashes binary").dropDuplicates(["class"])
+        full = full.unionByName(nameless.join(owners.where("owner is null").select("class"), "class", "left_semi"))
+    return full
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
@@ -243,6 +260,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
     Classes are dealt into blocks of about ``SETS``; a group has the sets of two blocks, once each,
     and their pairs.  So a set is sent once for each other block, not once for each pair.
     """
+    n = partitions(pairs.sparkSession)
     pairs = pairs.select("a", "b")
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     blocks = max(1, -(-ends.count() // SETS))
@@ -269,52 +287,143 @@ def _confirmed(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
             yield pa.record_batch([pa.array([g[i] for g in good], pa.binary()) for i in (0, 1)], CONFIRMED)
 
     # within a group the sets come first
-    ordered = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull())
+    ordered = rows.repartition(n, "p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull())
     return ordered.mapInArrow(check, "a binary, b binary")
 
 
-def _blocks(members: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of classes in a bucket, but in different components, that may be linked, and their estimate.
+def _stars(shared: DataFrame) -> DataFrame:
+    """a, b, bands and weight: classes and the leaders of their buckets, and in how many buckets they meet.
 
-    Most members of a bucket share a component by now.  Only the others, its minor
+    ``shared`` has key, class and weight.  The heaviest class of a bucket leads it.
+    """
+    leaders = shared.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("top")).select("key", F.col("top.class").alias("leader"), F.col("top.weight").alias("leader_weight"))
+    met = shared.join(leaders, "key").where("class <> leader")
+    return met.groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"), F.first("leader_weight").alias("weight"))
+
+
+def _weighed(keys: DataFrame) -> DataFrame:
+    """``keys`` (key, class) of buckets with several classes, and each class's weight: the sizes of its buckets together.
+
+    A text that many others were copied from shares more bands with them than they do
+    with each other, so it weighs most.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return keys.join(sizes, "key").select("key", "class", F.sum("members").over(Window.partitionBy("class")).alias("weight"))
+
+
+def _finer(members: DataFrame) -> DataFrame:
+    """key and class: a bucket's classes dealt anew, by the packed bits of sixteen more functions at a time."""
+    halves = [F.xxhash64("key", F.lit(2 * i + h), F.shiftrightunsigned(F.col("bits")[i], 32 * h).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) for i in range(FIRST_LONG, LONGS) for h in (0, 1)]
+    return members.select("class", F.explode(F.array(*halves)).alias("key")).distinct()
+
+
+def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, class, root, members and major of buckets whose classes lie in more than one component; major is the component of most of them."""
+    named = keys.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    counts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    return named.join(sizes.select("key", "members", F.col("major.root").alias("major"), F.col("major.n").alias("major_n")), "key")
+
+
+VISITS = pa.schema([("cell", pa.binary()), ("class", pa.binary()), ("visitor", pa.bool_())])
+
+
+def _visits(members: DataFrame, per_cent: int) -> DataFrame:
+    """cell, class and visitor: which classes have to be compared with which cell's, by their estimates.
+
+    Most members of an open bucket share a component.  Only the others, its minor
     members, can have links that are missing: they meet all members.  Minor members and
     all members are each cut into blocks of about ``BLOCK``, and a group holds one block
-    of either kind, however large its bucket is.
+    of either kind, however large its bucket is.  What is sent on is not the pairs but
+    which class visits which cell, and whom it may meet there.
     """
-    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("members"))
-    sizes = sizes.select("key", F.col("major.root").alias("major"), F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.expr(f"(members - major.n + {BLOCK - 1}) div {BLOCK}").alias("minor_blocks"))
-    dealt = members.join(sizes, "key").withColumn("minor", F.col("root") != F.col("major"))
-    row = ["key", "class", "root", "bits", "n_shingles"]
+    n = partitions(members.sparkSession)
+    dealt = members.withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}")).withColumn("minor_blocks", F.expr(f"(members - major_n + {BLOCK - 1}) div {BLOCK}")).withColumn("minor", F.col("root") != F.col("major"))
+    row = ["key", "class", "root", "cell", "bits", "n_shingles"]
     everyone = dealt.select(*row, F.lit(False).alias("minor"), F.expr("pmod(xxhash64(class), blocks)").alias("block"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("minor_block"))
     few = dealt.where("minor").select(*row, F.lit(True).alias("minor"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(class, 1), minor_blocks)").alias("minor_block"))
     odd = U64(0x5555555555555555)
     chance = 2.0**-LOW_BITS
+    # 1 - missed / HASHES >= chance + (1 - chance) * LEAST_ESTIMATE
+    most_missed = HASHES * (1 - chance) * (1 - LEAST_ESTIMATE)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, "key", "block", "minor_block"):
+            minor = group["minor"].to_numpy()
+            left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+            if not len(left) or not len(right):
+                continue
+            bits = np.ascontiguousarray(group["bits"].combine_chunks().flatten().to_numpy()).reshape(-1, LONGS).view(U64)
+            size = group["n_shingles"].to_numpy()
+            name, cell = group["class"].to_pylist(), group["cell"].to_pylist()
+            root = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            out = set()
+            for at in range(0, len(left), 64):
+                some = left[at : at + 64]
+                apart = bits[some][:, None, :] ^ bits[right][None, :, :]
+                missed = np.bitwise_count((apart | (apart >> U64(1))) & odd).sum(2)
+                good = (missed <= most_missed) & (root[some][:, None] != root[right][None, :])
+                good &= 100 * np.minimum(size[some][:, None], size[right][None, :]) >= per_cent * np.maximum(size[some][:, None], size[right][None, :])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+                    x, y = some[i], right[j]
+                    out.add((cell[y], name[x], True))
+                    out.add((cell[y], name[y], False))
+            if out:
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), VISITS, strict=True)], VISITS)
+
+    ordered = everyone.unionByName(few).repartition(n, "key", "block", "minor_block").sortWithinPartitions("key", "block", "minor_block")
+    return ordered.mapInArrow(compare, "cell binary, class binary, visitor boolean").distinct()
+
+
+def _rest(visits: DataFrame, full: DataFrame, classes: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) between a cell's visitors and the classes that they may meet there, on full sets.
+
+    Both sides of a cell are cut into blocks of about ``BLOCK_HASHES`` hashes.  A group
+    holds one block of each, and gives at most one link of a visitor to each component.
+    """
+    n = partitions(visits.sparkSession)
+    # a visitor that others may meet, too, is here twice
+    rows = visits.join(classes.select("class", "n_shingles"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    sums = rows.groupBy("cell").agg(*[F.expr(f"1 + sum(if({w}, n_shingles, 0L)) div {BLOCK_HASHES}").alias(c) for c, w in (("blocks", "not visitor"), ("visitor_blocks", "visitor"))])
+    dealt = rows.join(sums, "cell").join(full, "class")
+    row = ["cell", "class", "root", "visitor", "hashes"]
+    rows = dealt.where("not visitor").select(*row, F.expr("pmod(xxhash64(class), blocks)").alias("block"), F.explode(F.expr("sequence(0L, visitor_blocks - 1)")).alias("visitor_block"))
+    rows = rows.unionByName(dealt.where("visitor").select(*row, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(class, 1), visitor_blocks)").alias("visitor_block")))
+    rows = rows.withColumn("cell", F.xxhash64("cell"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, "cell", "block", "visitor_block"):
+            visitor, name = group["visitor"].to_numpy(), group["class"].to_pylist()
+            root = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            sets = [np.frombuffer(h, U64) for h in group["hashes"].to_pylist()]
+            home = np.flatnonzero(~visitor)
+            if not len(home) or len(home) == len(sets):
+                continue
+            size = np.array([len(sets[k]) for k in home])
+            owner = np.repeat(np.arange(len(home)), size)
+            every = np.concatenate([sets[k] for k in home])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            good = []
+            for k in np.flatnonzero(visitor).tolist():
+                low, high = np.searchsorted(every, sets[k]), np.searchsorted(every, sets[k], "right")
+                n_each = high - low
+                at = np.repeat(low - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())
+                both = np.bincount(owner[at], minlength=len(home))
+                hit = home[(100 * both >= per_cent * (len(sets[k]) + size - both)) & (root[home] != root[k])]
+                good += [(name[k], name[j]) for j in hit[np.unique(root[hit], return_index=True)[1]]]
+            if good:
+                yield pa.record_batch([pa.array([g[i] for g in good], pa.binary()) for i in (0, 1)], CONFIRMED)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["minor"]], group[~group["minor"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "near": []})
-        bits = [np.array(side["bits"].tolist(), np.int64).view(U64) for side in (left, right)]
-        n = [side["n_shingles"].to_numpy() for side in (left, right)]
-        roots = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
-        apart = bits[0][:, None, :] ^ bits[1][None, :, :]
-        missed = np.bitwise_count((apart | (apart >> U64(1))) & odd).sum(2)
-        near = (1 - missed / HASHES - chance) / (1 - chance)
-        good = (near >= LEAST_ESTIMATE) & (roots[: len(left)][:, None] != roots[len(left) :][None, :])
-        good &= 100 * np.minimum(n[0][:, None], n[1][None, :]) >= per_cent * np.maximum(n[0][:, None], n[1][None, :])
-        i, j = np.nonzero(good)
-        return pd.DataFrame({"a": left["class"].to_numpy()[i], "b": right["class"].to_numpy()[j], "near": near[i, j]})
-
-    pairs = everyone.unionByName(few).groupBy("key", "block", "minor_block").applyInPandas(compare, "a binary, b binary, near double")
-    return pairs.groupBy("a", "b").agg(F.max("near").alias("near"))
+    ordered = rows.repartition(n, "cell", "block", "visitor_block").sortWithinPartitions("cell", "block", "visitor_block")
+    return ordered.mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components, with root_a and root_b."""
+    """Pairs whose ends lie in different components."""
     side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return named.withColumns({f"root_{s}": F.coalesce(f"root_{s}", s) for s in "ab"}).where("root_a <> root_b")
+    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select(pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
@@ -325,35 +434,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(sign(docs, size))
     classes = cut(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    keys = classes.select("class", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("class").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
-    shared = cut(keys.join(leaders, "key"))
-    stars = shared.where("class <> leader").groupBy(F.col("class").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
-    stars = cut(stars)
+    shared = cut(_weighed(classes.select("class", F.explode("bands").alias("key"))))
     full = cut(_sets(shared.select("class").distinct(), docs, classes, size))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return cut(_confirmed(pairs, full, per_cent))
+    def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Components after the links among ``pairs``."""
+        possible = cut(_possible(pairs, classes, per_cent))
+        links = cut(_confirmed(possible, full, per_cent))
+        if roots is not None and links.isEmpty():
+            drop(possible, links)
+            return roots
+        now = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        drop(possible, links, *([roots] if roots is not None else []))
+        return now
 
     # each class and the leader that it meets most often; then its other leaders, if they are in other components
-    closest = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = confirm(cut(_possible(closest, classes, per_cent)))
-    roots = components(links)
-    links = links.unionByName(confirm(cut(_possible(_across(stars, roots).select("a", "b"), classes, per_cent))))
-    roots = components(links)
-    # buckets that still lie in several components: the best pairs of each class and component, then all that is left
-    named = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    members = named.join(open_keys, "key").join(classes.select("class", "bits", "n_shingles"), "class")
-    more = cut(_across(_blocks(members, per_cent), roots))
-    best = more.groupBy("a", "root_b").agg(F.max(F.struct("near", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = links.unionByName(confirm(cut(best)))
-    roots = components(links)
-    links = links.unionByName(confirm(cut(_across(more.select("a", "b"), roots).select("a", "b"))))
-    roots = components(links)
+    stars = cut(_stars(shared))
+    nearest = cut(stars.groupBy("a").agg(F.max(F.struct("bands", "weight", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    roots = joined(None, nearest)
+    roots = joined(roots, _across(stars, roots))
+    unsettled = cut(_open(shared.select("key", "class"), roots))
+    drop(stars)
+    wide = unsettled.where(f"members > {BLOCK}")
+    if not wide.isEmpty():
+        # a wide bucket is dealt into finer ones, which are led anew
+        finer = cut(_weighed(_finer(wide.join(classes.select("class", "bits"), "class"))))
+        stars = cut(_stars(finer))
+        roots = joined(roots, _across(stars, roots))
+        narrow = unsettled.where(f"members <= {BLOCK}").select("key", "class")
+        before, unsettled = unsettled, cut(_open(narrow.unionByName(finer.select("key", "class")), roots))
+        drop(before, finer, stars)
+    homes = nearest.select(F.col("a").alias("class"), F.col("b").alias("cell"))
+    described = classes.select("class", "bits", "n_shingles").join(homes, "class", "left").withColumn("cell", F.coalesce("cell", "class"))
+    visits = cut(_visits(unsettled.join(described, "class"), per_cent))
+    drop(unsettled)
+    links = cut(_rest(visits, full, classes, roots, per_cent))
+    before, roots = roots, components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drop(visits, links, before, full, shared, nearest)
     named = classes.select("class", "owner").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "owner", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("component_id"))
-    by_class = named.join(least, "root").select("class", "component_id")
+    by_class = cut(named.join(least, "root").select("class", "component_id"))
+    drop(classes, roots)
     out = signed.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

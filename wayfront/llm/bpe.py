@@ -4,7 +4,9 @@ A short word is held as two parallel arrays: its parts, and for each boundary
 between adjacent parts the rank of the merge that would delete it.  Encoding
 scans the rank array for its minimum (the leftmost one on ties), deletes that
 boundary and refreshes the ranks at its two neighbours, until no boundary has a
-rank.  Words repeat, so each worker remembers a bounded number of them.
+rank.  Words of more than 48 bytes keep their boundaries in a heap instead, as scans of
+their arrays would take time that grows with their square.  Words repeat, so each worker
+remembers a bounded number of them.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes
 to the empty string; repeated rows and repeated ids give a row each; other
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -92,6 +95,8 @@ class WordBpe:
         raw = word.encode()
         parts = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         parts = [p for p in parts if p is not None]
+        if len(parts) > SHORT[-1]:
+            return self.encode_long(parts)
         merge, none = self.merge.get, (NO_RANK, 0)
         found = [merge(pair, none) for pair in zip(parts, parts[1:], strict=False)]
         ranks = [r for r, _ in found]
@@ -105,6 +110,28 @@ class WordBpe:
                 ranks[k] = merge((parts[k], parts[k + 1]), none)[0]
         return np.array(parts, "<u4").tobytes()
 
+    def encode_long(self, parts: list[int]) -> bytes:
+        """The same for the parts of a long word, by a heap of ranks over linked parts: scans of its array would grow with its square."""
+        merge, n = self.merge.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (found := merge(pair))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            # a part that is gone has the id -1; a boundary whose parts have changed since has another rank
+            if j == n or not (found := merge((parts[i], parts[j]))) or found[0] != rank:
+                continue
+            parts[i], parts[j] = found[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if found := merge((parts[i], parts[k])):
+                    heapq.heappush(heap, (found[0], i))
+            if (h := before[i]) >= 0 and (found := merge((parts[h], parts[i]))):
+                heapq.heappush(heap, (found[0], h))
+        return np.array([p for p in parts if p >= 0], "<u4").tobytes()
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """``encode_word`` of each; words of like length share one block of rank arrays."""
         out: list[bytes] = [b""] * len(words)

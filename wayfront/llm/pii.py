@@ -10,7 +10,8 @@ then url, iban, secret, address.  Spans are in code points, end exclusive.
 Defined results: null text counts as empty; an empty text has no spans; spans of
 different kinds may overlap, spans of one kind never do; repeated rows give a row
 each; other columns of the input are ignored by ``find`` and kept by ``redact``.
-Texts of any length are searched whole, in time linear in their length.
+Texts of any length are searched whole, in time linear in their length.  An address
+needs its house number within ``STREET_REACH`` characters before the street's kind.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
                 if 10 <= sum(map(str.isdigit, m.group())) <= 15:
                     spans.append((start, 3, m.end()))
         elif cue == "url":
-            if m := URL.match(text, last + 1):
+            if start >= done["url"] and (m := URL.match(text, last + 1)):
                 add("url", start, last + 1 + len(m.group().rstrip(".,;:!?)")))
         elif cue == "iban":
             if (m := IBAN.match(text, last + 1)) and iban_valid(m.group(1)):

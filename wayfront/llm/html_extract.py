@@ -19,11 +19,13 @@ recursion.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import math
 import random
 import re
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,7 +37,7 @@ from .html_pages import labelled_pages
 
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript title iframe object svg canvas audio video math".split())
+SILENT = frozenset("head script style template noscript title iframe svg canvas audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of the given one ends, and those that keep it from looking further out.
 ENDS = {"li": ({"li", "p"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
@@ -45,7 +47,7 @@ TAGS = tuple("article aside blockquote body button dd div dl dt fieldset figcapt
 #: Parts of names that speak for or against main text.
 CUES = ("advert", "ad", "ads", "alert", "article", "banner", "body", "breadcrumb", "comment", "comments", "consent", "content", "cookie", "copyright", "disqus", "entry", "footer", "header", "legal", "main", "masthead", "menu", "nav", "navbar", "newsletter", "notice", "popup", "post", "promo", "related", "share", "side", "sidebar", "signup", "social", "sponsor", "sponsored", "story", "subscribe", "text", "topbar", "widget")
 NAME_PARTS = re.compile(r"[a-z]+")
-SPACES = re.compile(r"[\s​﻿]+")
+SPACES = re.compile(r"\s+")
 FEATURES = {f: i for i, f in enumerate([*(f"tag:{t}" for t in (*TAGS, "other")), *(f"name:{c}" for c in CUES), "root", "words:0", "words:few", "words:some", "words:many", "links:all", "links:most", "links:some", "links:none", "stops", "hidden", "depth"])}
 
 
@@ -68,7 +70,9 @@ class Tree(HTMLParser):
         self.buffer: list[str] = []
         self.blank = True
         self.bearer = 0
-        self.count: dict[str, int] = {}
+        #: Depths in ``open`` of each tag's elements, and of all that bear blocks.
+        self.depths: dict[str, list[int]] = {}
+        self.bearers: list[int] = [0]
 
     def flush(self) -> None:
         text = SPACES.sub(" ", "".join(self.buffer)).strip()
@@ -80,12 +84,17 @@ class Tree(HTMLParser):
     def pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
             tag = self.tags[self.open.pop()]
-            self.count[tag] -= 1
+            self.depths[tag].pop()
             self.silent -= tag in SILENT
             self.links -= tag == "a"
             if tag in BLOCKS:
+                self.bearers.pop()
                 self.flush()
 
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost open element with one of the tags; 0 without any."""
+        return max((own[-1] for t in tags if (own := self.depths.get(t))), default=0)
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![`` begins a comment up to the next ``>``, whatever follows."""
         end = self.rawdata.find(">", i + 3)
@@ -95,13 +104,8 @@ class Tree(HTMLParser):
         if tag == "br":
             self.buffer.append(" ")
         ended, walls = ENDS.get(tag, (set(), set()))
-        found = None
-        for k in range(len(self.open) - 1, 0, -1) if any(map(self.count.get, ended)) else ():
-            own = self.tags[self.open[k]]
-            if own in walls:
-                break
-            if own in ended:
-                found = k
+        wall = self.innermost(walls)
+        found = min((own[k] for t in ended if (own := self.depths.get(t)) and (k := bisect.bisect_right(own, wall)) < len(own)), default=None)
         if found is not None:
             self.pop_to(found)
         if tag in BLOCKS:
@@ -117,8 +121,10 @@ class Tree(HTMLParser):
         self.words.append(0)
         self.linked.append(0)
         self.stops.append(0)
+        self.depths.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.bearers.append(len(self.open))
         self.open.append(len(self.tags) - 1)
-        self.count[tag] = self.count.get(tag, 0) + 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -128,19 +134,15 @@ class Tree(HTMLParser):
             self.pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        same = HEADINGS if tag in HEADINGS else {tag}
-        for k in range(len(self.open) - 1, 0, -1) if any(map(self.count.get, same)) else ():
-            own = self.tags[self.open[k]]
-            if own in same:
-                self.pop_to(k)
-                return
-            if own in ("body", "html", "table") or (tag not in BLOCKS and own in BLOCKS and tag not in SILENT):
-                return
+        k = self.innermost(HEADINGS if tag in HEADINGS else {tag})
+        wall = self.bearers[-1] if tag not in BLOCKS and tag not in SILENT else self.innermost(("body", "html", "table"))
+        if k > wall or k and k == wall:
+            self.pop_to(k)
 
     def handle_data(self, data: str) -> None:
         if self.silent:
             return
-        owner = next(i for i in reversed(self.open) if self.tags[i] in BLOCKS or i == 0)
+        owner = self.open[self.bearers[-1]]
         if self.blank:
             self.bearer, self.blank = owner, not data.strip()
         self.buffer.append(data)

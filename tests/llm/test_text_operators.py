@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from wayfront.llm.common import WORD_PATTERN
 from wayfront.llm import bpe, media, mixing, pii, quality, rans, token_files
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -179,10 +180,43 @@ def test_mixing_targets(spark, odd, empty):
     found = mixing.taken(docs).groupBy("source_size", "target").sum("taken").collect()
     assert all(abs(r["sum(taken)"] / r["target"] - 1) < 0.02 for r in found)
     assert sorted(map(tuple, mixing.taken(docs).collect())) == sorted(map(tuple, mixing.taken(docs.repartition(7)).collect()))
-    mix = mixing.mixed(docs)
-    assert mix.columns == docs.columns
-    words = mix.selectExpr("sum(size(split(text, ' '))) as n").first()["n"]
+    assert mixing.mixed(empty).count() == 0 and mixing.mixed(odd).columns == odd.columns
+
+
+def test_multinomial_draws(spark):
+    """Counts of shards add up to quotas, ranges of indices follow each other, and counts vary like multinomial ones."""
+    quota = [50_000, 20_000, 5, 0]
+    sources = spark.createDataFrame([(f"={i}", i, q, max(1, q)) for i, q in enumerate(quota)], "skey string, rank long, quota long, blocks long")
+    rows = mixing.draws(sources, sum(quota)).collect()
+    shards = 1 << (-(-sum(quota) // mixing.SHARD_SLOTS) - 1).bit_length()
+    assert {r["shard"] for r in rows} == set(range(shards))
+    for i, q in enumerate(quota):
+        own = sorted((r["first"], r["count"]) for r in rows if r["rank"] == i)
+        assert sum(n for _, n in own) == q and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+        counts = np.zeros(shards)
+        np.add.at(counts, [r["shard"] for r in rows if r["rank"] == i], [r["count"] for r in rows if r["rank"] == i])
+        if q > 1000:
+            chi = ((counts - q / shards) ** 2).sum() / (q / shards)
+            assert abs(chi - (shards - 1)) < 4 * (2 * (shards - 1)) ** 0.5
+
+
+def test_mix_keeps_slices_and_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    rows = [(i, f" \tstart{i}\n\n" + "  ".join(f"w{i}_{k}\n" for k in range(20 + i * 13 % 400)) + "\u00a0x \n", "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixed(docs).collect()
+    texts = {i: t for i, t, _ in rows}
+    assert all(r["text"] in texts[r["doc_id"]] for r in mix)
+    assert sum(len(r["text"].split(" ")) >= 1 for r in mix) == len(mix)
+    words = sum(len(re.findall(WORD_PATTERN, r["text"])) for r in mix)
     assert words == mixing.taken(docs).agg({"taken": "sum"}).first()[0]
+    # a text's distinct pieces, in their order, are the text
+    for i, text in texts.items():
+        pieces = sorted({(text.index(r["text"]), r["text"]) for r in mix if r["doc_id"] == i})
+        assert all(a + len(t) <= b for (a, t), (b, _) in zip(pieces, pieces[1:]))
+    counts = mixing.shard_counts(docs)
+    assert counts.agg({"slots": "sum"}).first()[0] == mixing.plan(docs).sources.agg({"quota": "sum"}).first()[0]
+    assert counts.select("shard").distinct().count() > 1
 
 
 def test_permutations_are_bijections(spark):

@@ -2,12 +2,13 @@
 
 The words of a source's documents are packed, one document after the other, into
 blocks of a fixed number of words.  A source's target and the number of its blocks
-give its quota of output slots.  One pseudorandom permutation deals all quota items
-over the output slots: the source counts of a shard are thus a multinomial draw
-conditioned on the quotas, so that targets are met without sampling error.  A second
-permutation per source and turn maps an item to a block, and slots and blocks are
-joined by block index.  A block is taken at most ``CAP`` times, hence so is each
-document.
+give its quota of items.  Items are dealt over output shards by multinomial draws:
+each cell of items is split between the two halves of the shards, and each half again,
+by a binomial count of pseudorandom bits of what is left there.  So every source's
+counts over the shards are a multinomial draw, targets are met without sampling error,
+and a shard's items of a source are a range of indices.  A permutation per source and
+turn maps an index to a block, and items and blocks are joined by block index.  A block
+is taken at most ``CAP`` times, hence so is each document.
 
 Permutations are swap-or-not networks (Hoang, Morris and Rogaway, 2012): a bijection
 of any range [0, n) by integer arithmetic, with neither a sort nor a table.
@@ -30,13 +31,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, word_count
+from .common import WORD_PATTERN, cut, partitions, word_count
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 256
 CAP = 3
 WEIGHTS = 3
-SEED = 20_011
 
 ROUNDS = 12
 PRIME = 2_147_483_647
@@ -44,14 +44,18 @@ PRIME = 2_147_483_647
 A, B, C = 630_360_016, 742_938_285, 950_706_376
 #: Documents in a bin and bins in a superbin, on average.
 BIN_ROWS, SUPER_BINS = 128, 128
-#: Items of a source that one row is exploded to at once.
+#: Items of a source that are dealt over the shards together.
 CELL = 4096
+#: Pseudorandom bits that one hash gives.
+BITS = 64
+#: Items that one task makes, if Spark's number of partitions gives no fewer.
+TASK_ITEMS = 1 << 18
 
 
 class Plan(NamedTuple):
     positions: DataFrame  # doc_id, skey, size, start, and carried columns
-    sources: DataFrame  # skey, rank, source_size, target, blocks, quota, base
-    slots: DataFrame  # skey, block, turn, slot, shard
+    sources: DataFrame  # skey, rank, source_size, target, blocks, quota
+    slots: DataFrame  # skey, rank, item, block, turn, shard
     pieces: DataFrame  # skey, block, start (of the document), first (word in it), n_words
 
 
@@ -82,12 +86,36 @@ def permuted_sql(table: str, column: str, key: str, n: str) -> str:
     return table
 
 
-WORD_PATTERN_SQL = WORD_PATTERN.replace("\\", "\\\\")
+#: A word with the white space before it, and with what ends the text after it: the text itself, cut up.
+SPACED_WORD_SQL = (r"[\x20\x09-\x0D]*" + WORD_PATTERN + r"(?:[\x20\x09-\x0D]+\z)?").replace("\\", "\\\\")
+
+
 def source_key() -> Column:
     """Sources as text that sorts like them; the null source is ''."""
     return F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
 
 
+def left_count(level: int) -> str:
+    """SQL of how many of the ``count`` items at ``node`` of a level go to its left half: Binomial(count, 1/2), by counting random bits."""
+    mask = f"shiftrightunsigned(-1L, cast({BITS} - least({BITS}, count - {BITS} * i) as int))"
+    return f"aggregate(sequence(0L, (count - 1) div {BITS}), 0L, (s, i) -> s + bit_count(xxhash64(rank, cell, {level}, node, i) & {mask}))"
+
+
+def draws(sources: DataFrame, n_slots: int) -> DataFrame:
+    """skey, rank, blocks, shard, first and count: each cell's items of a source in each output shard, from index ``first`` on.
+
+    About ``SHARD_SLOTS`` items, of all sources, go to a shard; a shard's number is its leaf in the tree of halves.
+    """
+    tasks = max(partitions(sources.sparkSession), n_slots // TASK_ITEMS)
+    cells = sources.where("quota > 0").withColumn("cell", F.explode(F.expr(f"sequence(0L, (quota - 1) div {CELL})"))).repartition(tasks, "skey", "cell")
+    dealt = cells.select("skey", "rank", "blocks", "cell", F.lit(0).cast("long").alias("node"), F.expr(f"cell * {CELL}").alias("first"), F.expr(f"least({CELL}, quota - cell * {CELL})").alias("count"))
+    for level in range(max(0, -(-n_slots // SHARD_SLOTS) - 1).bit_length()):
+        dealt = dealt.withColumn("left", F.expr(left_count(level)))
+        halves = F.expr("array(struct(2 * node as node, first as first, left as count), struct(2 * node + 1 as node, first + left as first, count - left as count))")
+        dealt = dealt.select("skey", "rank", "blocks", "cell", F.inline(halves)).where("count > 0")
+    return dealt.withColumnRenamed("node", "shard")
+
+
 HASH = f"((((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME}) * {A} + 12345) % {PRIME}"
 
 
@@ -118,7 +146,7 @@ def _sources(sized: DataFrame) -> DataFrame:
     filled = levels.withColumn("target", F.expr(f"least(cast({CAP} * source_size as double), max(level) over () * weight)")).withColumn("blocks", F.expr(f"(source_size + {BLOCK_WORDS - 1}) div {BLOCK_WORDS}"))
     quota = f"case when source_size = 0 then 0L else least({CAP} * blocks, cast(floor(target * blocks / source_size + 0.5) as bigint)) end"
     filled = filled.withColumn("quota", F.expr(quota))
-    return filled.withColumn("base", F.expr("coalesce(sum(quota) over (order by rank rows between unbounded preceding and 1 preceding), 0)")).select("skey", F.col("rank").cast("long"), "source_size", "target", "blocks", "quota", "base")
+    return filled.select("skey", F.col("rank").cast("long"), "source_size", "target", "blocks", "quota")
 
 
 def plan(docs: DataFrame, *carry: str) -> Plan:
@@ -132,11 +160,9 @@ def plan(docs: DataFrame, *carry: str) -> Plan:
     sources = cut(_sources(small))
     n_slots = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     positions = _positions(sized, small.count())
-    items = sources.where("quota > 0").withColumn("cell", F.explode(F.expr(f"sequence(0L, (quota - 1) div {CELL})"))).repartition("skey", "cell")
-    items = items.withColumn("item", F.explode(F.expr(f"sequence(cell * {CELL}, least(quota, (cell + 1) * {CELL}) - 1)")))
-    slots = items.select("skey", "rank", "blocks", F.expr("item div blocks").alias("turn"), F.expr("item % blocks").alias("block"), (F.col("base") + F.col("item")).alias("slot"))
-    slot, block = permuted("slot", f"{SEED}L", f"{max(n_slots, 1)}L"), permuted("block", f"(rank * {CAP + 1} + turn)", "blocks")
-    slots = slots.select("skey", F.expr(block).alias("block"), "turn", F.expr(slot).alias("slot")).withColumn("shard", F.expr(f"slot div {SHARD_SLOTS}"))
+    items = draws(sources, n_slots).withColumn("item", F.explode(F.expr("sequence(first, first + count - 1)")))
+    slots = items.select("skey", "rank", "blocks", "shard", "item", F.expr("item div blocks").alias("turn"), F.expr("item % blocks").alias("block"))
+    slots = slots.withColumn("block", F.expr(permuted("block", f"(rank * {CAP + 1} + turn)", "blocks"))).drop("blocks")
     return Plan(positions, sources, slots, pieces_of(positions))
 
 
@@ -152,32 +178,38 @@ def taken(docs: DataFrame) -> DataFrame:
     p = plan(docs)
     positions = cut(p.positions)
     found = pieces_of(positions).join(p.slots.select("skey", "block").hint("merge"), ["skey", "block"]).groupBy("skey", "start").agg(F.sum("n_words").alias("taken"))
-    keyed = positions.withColumn("key", F.when(F.col("size") > 0, F.col("start")))
+    # documents without words take part in the join by keys that no block has, and not all by the same one
+    keyed = positions.withColumn("key", F.when(F.col("size") > 0, F.col("start")).otherwise(F.expr("-1 - pmod(xxhash64(doc_id), 1048576)")))
     out = keyed.join(found.withColumnRenamed("start", "key").hint("merge"), ["skey", "key"], "left").join(p.sources.select("skey", "source_size", "target"), "skey")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def shard_counts(docs: DataFrame) -> DataFrame:
-    """Slots by output shard and source: the conditioned multinomial draws."""
+    """shard, skey and slots: the multinomial draws, as counts of items by output shard and source."""
     return plan(docs).slots.groupBy("shard", "skey").agg(F.count("*").alias("slots"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself in the columns of ``docs``: a row for each piece of a document that a slot takes.
+    """The mix itself in the columns of ``docs``: a row for each piece of a document that a block has, as often as the block is taken.
 
-    The words of a piece are joined by spaces; ``n_chars`` (if there) is counted again.
+    A piece is a slice of the text as it stands, white space included; ``n_chars`` (if
+    there) is counted again.  Partitions hold whole output shards, one after the other,
+    and rows stand in the order of a shard's slots: the pieces of a block follow each
+    other.  Documents without words have no piece.
     """
     names = docs.columns
     carry = [c for c in names if c not in ("doc_id", "text")]
     renamed = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     p = plan(renamed, "text", *[f"_c{i}" for i in range(len(carry))])
     # the words of a text are found once, and each piece joins its own slice of them
-    cut_up = rf"""flatten(transform(array(regexp_extract_all(text, '{WORD_PATTERN_SQL}', 0)), w -> transform(
+    cut_up = rf"""flatten(transform(array(regexp_extract_all(text, '{SPACED_WORD_SQL}', 0)), w -> transform(
         sequence(start div {BLOCK_WORDS}, (start + size - 1) div {BLOCK_WORDS}), b -> named_struct('block', b, 'text', array_join(
-            slice(w, cast(greatest(b * {BLOCK_WORDS} - start, 0L) + 1 as int), cast(least((b + 1) * {BLOCK_WORDS} - start, size) - greatest(b * {BLOCK_WORDS} - start, 0L) as int)), ' ')))))"""
+            slice(w, cast(greatest(b * {BLOCK_WORDS} - start, 0L) + 1 as int), cast(least((b + 1) * {BLOCK_WORDS} - start, size) - greatest(b * {BLOCK_WORDS} - start, 0L) as int)), '')))))"""
     kept = [f"_c{i}" for i in range(len(carry))]
-    pieces = p.positions.where("size > 0").select("skey", "doc_id", *kept, F.inline(F.expr(cut_up)))
-    out = pieces.join(p.slots.select("skey", "block", "slot").hint("merge"), ["skey", "block"])
+    pieces = p.positions.where("size > 0").select("skey", "doc_id", "start", *kept, F.inline(F.expr(cut_up)))
+    order = ["shard", F.xxhash64("rank", "item"), "rank", "item", "start"]
+    slots = p.slots.select("skey", "block", "shard", "rank", "item")
+    out = pieces.join(slots.hint("merge"), ["skey", "block"]).repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions(*order)
     back = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
     if "n_chars" in back:
         back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -40,10 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from there; ``drop`` deletes it."""
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there; ``drop`` deletes it.
+
+    ``tasks`` bounds the tasks that write it, for tables known to be small: see ``tasks_for``.
+    """
     path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.cut_path = path
     return found
@@ -57,6 +61,12 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark delete the files of shuffles that nothing refers to any more, which it does when the driver's memory is cleared."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions for what Python workers do after a shuffle: rows are few and small there, so their bytes tell nothing."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,6 +127,15 @@ def groups(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(open_run)
 
 
+#: Small rows that one task writes without effort.
+TASK_ROWS = 50_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a table of small rows, as many as it needs and no more than Spark's number of partitions."""
+    return min(partitions(spark), rows // TASK_ROWS + 1)
+
+
 class Memo:
     """What ``make`` gives for the keys seen lately.
 

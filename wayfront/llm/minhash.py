@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, drop, groups, partitions, small_batches
+from .common import by_batch, cut, drop, groups, partitions, small_batches, tasks_for
 from .components import components
 
 HASHES = 512
@@ -52,7 +52,7 @@ LEAST_ESTIMATE = 0.7
 #: Members of a bucket whose estimates are compared in one block; wider buckets are dealt into finer ones first.
 BLOCK = 1024
 #: Hashes of full sets on one side of a group.
-BLOCK_HASHES = 1 << 19
+BLOCK_HASHES = 1 << 16
 #: The first of the packed longs that deal a wide bucket anew; those before are of the bands' functions.
 FIRST_LONG = 4
 #: Full sets of one side of a group of pairs.
@@ -338,8 +338,9 @@ def _visits(members: DataFrame, per_cent: int) -> DataFrame:
     which class visits which cell, and whom it may meet there.
     """
     n = partitions(members.sparkSession)
-    dealt = members.withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}")).withColumn("minor_blocks", F.expr(f"(members - major_n + {BLOCK - 1}) div {BLOCK}")).withColumn("minor", F.col("root") != F.col("major"))
-    row = ["key", "class", "root", "cell", "bits", "n_shingles"]
+    lists = members.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    dealt = members.join(lists, "class").withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}")).withColumn("minor_blocks", F.expr(f"(members - major_n + {BLOCK - 1}) div {BLOCK}")).withColumn("minor", F.col("root") != F.col("major"))
+    row = ["key", "class", "root", "cell", "bits", "n_shingles", "keys"]
     everyone = dealt.select(*row, F.lit(False).alias("minor"), F.expr("pmod(xxhash64(class), blocks)").alias("block"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("minor_block"))
     few = dealt.where("minor").select(*row, F.lit(True).alias("minor"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(class, 1), minor_blocks)").alias("minor_block"))
     odd = U64(0x5555555555555555)
@@ -357,12 +358,21 @@ def _visits(members: DataFrame, per_cent: int) -> DataFrame:
             size = group["n_shingles"].to_numpy()
             name, cell = group["class"].to_pylist(), group["cell"].to_pylist()
             root = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            # which lesser open buckets each member is in
+            lists = group["keys"].combine_chunks()
+            owner, held = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            lesser = held < group["key"][0].as_py()
+            owner, (names, place) = owner[lesser], np.unique(held[lesser], return_inverse=True)
+            member = np.zeros((len(name), len(names)), np.float32)
+            member[owner, place] = 1
+            member = member[:, member.sum(0) > 1]
             out = set()
             for at in range(0, len(left), 64):
                 some = left[at : at + 64]
                 apart = bits[some][:, None, :] ^ bits[right][None, :, :]
                 missed = np.bitwise_count((apart | (apart >> U64(1))) & odd).sum(2)
                 good = (missed <= most_missed) & (root[some][:, None] != root[right][None, :])
+                good &= member[some] @ member[right].T == 0
                 good &= 100 * np.minimum(size[some][:, None], size[right][None, :]) >= per_cent * np.maximum(size[some][:, None], size[right][None, :])
                 for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
                     x, y = some[i], right[j]
@@ -434,46 +444,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(sign(docs, size))
     classes = cut(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    shared = cut(_weighed(classes.select("class", F.explode("bands").alias("key"))))
+    few = tasks_for(docs.sparkSession, classes.count())
+    shared = cut(_weighed(classes.select("class", F.explode("bands").alias("key"))), few)
     full = cut(_sets(shared.select("class").distinct(), docs, classes, size))
 
-    def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Components after the links among ``pairs``."""
-        possible = cut(_possible(pairs, classes, per_cent))
-        links = cut(_confirmed(possible, full, per_cent))
-        if roots is not None and links.isEmpty():
-            drop(possible, links)
+        possible = cut(_possible(pairs if roots is None else _across(pairs, roots), classes, per_cent), few)
+        links = cut(_confirmed(possible, full, per_cent), few)
+        now = merged(links, roots)
+        drop(possible, links)
+        return now
+
+    def merged(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return components(links, few)
+        if links.isEmpty():
             return roots
-        now = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        drop(possible, links, *([roots] if roots is not None else []))
+        now = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), few)
+        drop(roots)
         return now
 
-    # each class and the leader that it meets most often; then its other leaders, if they are in other components
-    stars = cut(_stars(shared))
-    nearest = cut(stars.groupBy("a").agg(F.max(F.struct("bands", "weight", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    roots = joined(None, nearest)
-    roots = joined(roots, _across(stars, roots))
-    unsettled = cut(_open(shared.select("key", "class"), roots))
+    # each class and the leaders of its buckets
+    stars = cut(_stars(shared), few)
+    roots = linked(stars, None)
+    # a class's cell is led by the leader that it meets most often
+    homes = stars.groupBy(F.col("a").alias("class")).agg(F.max(F.struct("bands", "weight", "b")).alias("m")).select("class", F.col("m.b").alias("cell"))
+    homes = cut(homes, few)
     drop(stars)
+    unsettled = cut(_open(shared.select("key", "class"), roots), few)
     wide = unsettled.where(f"members > {BLOCK}")
     if not wide.isEmpty():
         # a wide bucket is dealt into finer ones, which are led anew
         finer = cut(_weighed(_finer(wide.join(classes.select("class", "bits"), "class"))))
         stars = cut(_stars(finer))
-        roots = joined(roots, _across(stars, roots))
+        roots = linked(stars, roots)
         narrow = unsettled.where(f"members <= {BLOCK}").select("key", "class")
         before, unsettled = unsettled, cut(_open(narrow.unionByName(finer.select("key", "class")), roots))
         drop(before, finer, stars)
-    homes = nearest.select(F.col("a").alias("class"), F.col("b").alias("cell"))
     described = classes.select("class", "bits", "n_shingles").join(homes, "class", "left").withColumn("cell", F.coalesce("cell", "class"))
-    visits = cut(_visits(unsettled.join(described, "class"), per_cent))
-    drop(unsettled)
-    links = cut(_rest(visits, full, classes, roots, per_cent))
-    before, roots = roots, components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(visits, links, before, full, shared, nearest)
+    visits = cut(_visits(unsettled.join(described, "class"), per_cent), few)
+    links = cut(_rest(visits, full, classes, roots, per_cent), few)
+    roots = merged(links, roots)
+    drop(visits, links, unsettled, full, shared, homes)
     named = classes.select("class", "owner").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "owner", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("component_id"))
-    by_class = cut(named.join(least, "root").select("class", "component_id"))
+    by_class = cut(named.join(least, "root").select("class", "component_id"), few)
     drop(classes, roots)
     out = signed.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -74,6 +74,11 @@ def normalized(c: str, low: Column, high: Column) -> Column:
     return (F.col(c) - low) / F.greatest((high - low).cast("double"), F.lit(1.0))
 
 
+def padded(rows, m: int):
+    """``rows`` with c1..cm and zeros for the costs from there to the fifth."""
+    return rows.withColumns({c: F.lit(0).cast("long") for c in COSTS[m:]})
+
+
 def cell(z: Column, eps: float) -> Column:
     return F.floor(z / F.lit(max(eps, 1e-12))).cast("long")
 

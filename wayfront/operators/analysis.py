@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import COSTS, OBJECTIVES, jaccard, path_edges
+from ..functions.ship import ship
 
 ORDINAL = {name: k + 1 for k, name in enumerate(OBJECTIVES)}
 
@@ -84,10 +87,41 @@ def sizes_by_objectives(fronts: DataFrame) -> DataFrame:
 
 
 def median_query(fronts: DataFrame) -> DataFrame:
-    """city and the query whose front has the median size (the upper one of two; ties by dataset, query_id)."""
+    """city and the query whose front has the median size (the upper one of two; ties by dataset, query_id).
+
+    Sizes are counted first; only the queries of the median size are then put in order.
+    """
     sizes = fronts.groupBy("city", "dataset", "query_id").agg(F.count("*").alias("n"))
-    ordered = sizes.groupBy("city").agg(F.sort_array(F.collect_list(F.struct("n", "dataset", "query_id"))).alias("all"))
-    return ordered.select("city", F.expr("element_at(all, cast(size(all) div 2 + 1 as int))").alias("m")).select("city", "m.dataset", "m.query_id", "m.n")
+    counted = sizes.groupBy("city", "n").agg(F.count("*").alias("times"))
+    placed = counted.withColumn("upto", F.expr("sum(times) over (partition by city order by n)")).withColumn("total", F.expr("sum(times) over (partition by city)"))
+    middle = placed.where("upto > total div 2 and upto - times <= total div 2").select("city", "n", (F.expr("total div 2") - F.col("upto") + F.col("times")).alias("_at"))
+    own = sizes.join(middle, ["city", "n"]).withColumn("_n", F.expr("row_number() over (partition by city order by dataset, query_id) - 1"))
+    return own.where("_n = _at").select("city", "dataset", "query_id", "n")
+
+
+def replay(traces: DataFrame, key: str, step: str) -> DataFrame:
+    """key, n_steps, n_different: steps (g1, g2, g3 in order of ``step``, then by vector) after which the front that is kept
+    in order and a front that is compared in full don't hold the same vectors.
+
+    One task replays one trace.
+    """
+    ship(traces.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        from ..plans.kernels import FrontN  # the kernels import nothing from here
+
+        ordered = rows.sort_values([step, "g1", "g2", "g3"])[["g1", "g2", "g3"]].to_numpy()
+        own, full, different = FrontN(), np.zeros((0, 3), np.int64), 0
+        for g in ordered:
+            if not own.covers(*g.tolist()):
+                own.add(*g.tolist())
+            if not (full <= g).all(1).any():
+                full = np.concatenate([full[~(full >= g).all(1)], g[None]])
+            different += sorted(own.rows) != sorted(map(tuple, full.tolist()))
+        return pd.DataFrame([(rows[key].iloc[0], len(ordered), different)], columns=[key, "n_steps", "n_different"])
+
+    kind = traces.schema[key].dataType.simpleString()
+    return traces.groupBy(key).applyInPandas(run, f"{key} {kind}, n_steps long, n_different long")
 
 
 def truncated_percentiles(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -9,6 +9,20 @@ from ..functions.columns import HALTON_BASES, cell, costs, normalized, radical_i
 from .skyline import skyline
 
 
+#: Rows of a table of parameters (points, weights) that every group meets; more are refused.
+MAX_PARAMETERS = 100_000
+
+
+def every(rows: DataFrame, parameters: DataFrame) -> DataFrame:
+    """``rows``, each with every row of a table of parameters, whose size is checked before it is sent to all tasks."""
+    table = parameters.limit(MAX_PARAMETERS + 1).collect()
+    if len(table) > MAX_PARAMETERS:
+        raise ValueError(f"more than {MAX_PARAMETERS} parameters")
+    names = parameters.columns
+    known = rows.sparkSession.createDataFrame(table, parameters.schema).agg(F.collect_list(F.struct(*names)).alias("_all")).withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(known), "_one").drop("_one").withColumn("_p", F.explode("_all")).select(*rows.columns, "_p.*")
+
+
 def weight_grid(spark: SparkSession, k: int) -> DataFrame:
     """weight_id, w1..w3: all (a, b, c) of whole numbers from 0 that sum to k."""
     a = spark.range(k + 1).select(F.col("id").alias("w1"))
@@ -22,12 +36,12 @@ def halton(spark: SparkSession, n: int, m: int) -> DataFrame:
 
 
 def simplex_weights(spark: SparkSession, n: int, m: int) -> DataFrame:
-    """i, w1..wm: unit weights, equal weights, then interior ones (a line for m = 2, else -log of Halton points, scaled to 1)."""
+    """i, w1..wm: unit weights, equal weights, then interior ones (steps of 1 / (n - 1) on a line for m = 2, else -log of Halton points, scaled to 1)."""
     units = spark.range(m).select(F.col("id").alias("i"), *[(F.col("id") == k).cast("double").alias(f"w{k + 1}") for k in range(m)])
     equal = spark.range(1).select(F.lit(m).cast("long").alias("i"), *[F.lit(1.0 / m).alias(f"w{k + 1}") for k in range(m)])
     inside = max(n - m - 1, 0)
     if m == 2:
-        share = F.col("id") / F.lit(float(max(inside - 1, 1)))
+        share = F.col("id") / F.lit(float(max(n - 1, 1)))
         more = spark.range(inside).select((F.col("id") + m + 1).alias("i"), share.alias("w1"), (1 - share).alias("w2"))
     else:
         logs = halton(spark, inside, m).select("i", *[(-F.log(F.greatest(f"u{k + 1}", F.lit(1e-12)))).alias(f"v{k + 1}") for k in range(m)])
@@ -90,8 +104,7 @@ def hypervolume(front: DataFrame, keys: list[str], m: int, points: DataFrame, wi
 
     The points are a parameter; every group meets the same ones.
     """
-    groups = front.select(*keys).distinct().withColumn("_one", F.lit(1))
-    asked = groups.join(F.broadcast(points.withColumn("_one", F.lit(1))), "_one").drop("_one").withColumnsRenamed({f"u{k + 1}": f"c{k + 1}" for k in range(m)})
+    asked = every(front.select(*keys).distinct(), points).withColumnsRenamed({f"u{k + 1}": f"c{k + 1}" for k in range(m)})
     z = normalize(front.select(*keys, *costs(m)).distinct(), keys, m, within)
     unit = z.select(*keys, *[F.least(F.greatest(f"z{k + 1}", F.lit(0.0)), F.lit(1.0)).alias(f"c{k + 1}") for k in range(m)]).alias("f")
     p = asked.alias("p")
@@ -103,6 +116,20 @@ def hypervolume(front: DataFrame, keys: list[str], m: int, points: DataFrame, wi
     return total.join(hit, keys, "left").select(*keys, (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("hv"))
 
 
+def quality(front: DataFrame, keys: list[str], m: int, eps: float, points: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """keys, n, hv, eps_coverage, z_min_sum and z_max_sum of each group's front, in the ranges of front and reference together.
+
+    Without a reference a front covers itself.
+    """
+    both = front if reference is None else front.select(*keys, *costs(m)).unionByName(reference.select(*keys, *costs(m)))
+    within = ranges(both, keys, m)
+    sums = within.select(*keys, *[sum((F.col(f"{p}{k}") for k in range(2, m + 1)), F.col(f"{p}1")).alias(n) for p, n in (("lo", "z_min_sum"), ("hi", "z_max_sum"))])
+    out = front.groupBy(*keys).agg(F.count("*").alias("n")).join(hypervolume(front, keys, m, points, within), keys).join(sums, keys)
+    if reference is None:
+        return out.withColumn("eps_coverage", F.lit(1.0))
+    return out.join(coverage(front, reference, keys, m, eps, within).drop("n_reference"), keys, "left").withColumn("eps_coverage", F.coalesce("eps_coverage", F.lit(1.0)))
+
+
 def shortest_by_cost(candidates: DataFrame, keys: list[str], m: int) -> DataFrame:
     """One path for each first-m vector: the one of fewest nodes, then the least."""
     others = [c for c in candidates.columns if c not in (*keys, *costs(m))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BUCKETS, percent_delta
+from ..functions.columns import BUCKETS, percent_delta, query_key
 
 
 def pending(expected: DataFrame, committed: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,9 +45,16 @@ def bucket_rank(bucket: str = "bucket") -> Column:
 
 
 def waves(jobs: DataFrame) -> DataFrame:
-    """Jobs with their wave (1: easy and medium, 2: the others) and place in it."""
+    """Jobs with their wave (1: easy and medium, 2: the others) and place in it, by bucket, dataset and query.
+
+    Jobs are numbered within a dataset and bucket; what stands before comes from the
+    counts of datasets, so a wave is not put in order by one task.
+    """
     wave = F.when(F.col("bucket").isin("easy", "medium"), 1).otherwise(2)
-    return jobs.withColumn("wave", wave).withColumn("_rank", bucket_rank()).withColumn("place", F.expr("row_number() over (partition by wave order by _rank, dataset, query_id)")).drop("_rank")
+    ranked = jobs.withColumn("wave", wave).withColumn("_rank", bucket_rank()).withColumn("_own", F.expr("row_number() over (partition by wave, _rank, dataset order by query_id)"))
+    counts = ranked.groupBy("wave", "_rank", "dataset").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.expr("coalesce(sum(_n) over (partition by wave order by _rank, dataset rows between unbounded preceding and 1 preceding), 0)")).drop("_n")
+    return ranked.join(before, ["wave", "_rank", "dataset"]).select(*jobs.columns, "wave", (F.col("_before") + F.col("_own")).cast("int").alias("place"))
 
 
 def digest(front: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,3 +108,51 @@ def slopes(log: DataFrame) -> DataFrame:
     """Rates for each expansion of a search's progress rows, the last row of each exp."""
     per = lambda c: (F.col(c) / F.greatest("exp", F.lit(1))).alias(f"{c}_per_exp")
     return log.select("*", (F.col("gen") / F.greatest("exp", F.lit(1))).alias("rg"), (F.col("live") / F.greatest("exp", F.lit(1))).alias("rl"), *map(per, ("node_pr", "goal_pr", "s", "max_node")))
+
+
+def selected(jobs: DataFrame, buckets: list[str] | None, hold: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs of the wanted buckets that are neither held back nor done."""
+    wanted = jobs.where(F.col("bucket").isin(buckets)) if buckets else jobs
+    return pending(pending(wanted, hold, keys), done, keys)
+
+
+def parse_held(items: DataFrame) -> DataFrame:
+    """dataset (upper case) and query_id (four digits) of texts ``DS:QID`` or ``DS_QID``; others go."""
+    at = F.when(F.col("value").contains(":"), F.lit(":")).when(F.col("value").contains("_"), F.lit("_"))
+    parts = F.split("value", at, 2)
+    return items.where(at.isNotNull()).select(F.upper(parts[0]).alias("dataset"), query_key(parts[1]).alias("query_id")).distinct()
+
+
+def spread(jobs: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n jobs, datasets in the given order, then by query: a limit that the caller asks for."""
+    rank = F.array_position(F.array(*[F.lit(d) for d in order]), F.col("dataset"))
+    return jobs.where(rank > 0).orderBy(rank, "query_id").limit(n)
+
+
+def best_configuration(configurations: DataFrame) -> DataFrame:
+    """The configuration without mismatch of most speedup, then of least scan ratio, then by name."""
+    return configurations.where("mismatch = 0").orderBy(F.desc("speedup"), "scan_ratio", "name").limit(1)
+
+
+def regressions(baseline: DataFrame, candidate: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row: compared, equal, missing (in the candidate) and passed, by the optimal value of each key."""
+    both = baseline.select(*keys, F.col(value).alias("_a")).join(candidate.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_there")), keys, "left")
+    same, missing = F.col("_a").eqNullSafe(F.col("_b")) & F.col("_there").isNotNull(), F.col("_there").isNull()
+    out = both.agg(F.count("*").alias("compared"), F.sum(same.cast("long")).alias("equal"), F.sum(missing.cast("long")).alias("missing"))
+    return out.withColumn("passed", F.col("compared") == F.col("equal"))
+
+
+def run_statistics(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mean and largest runtime, and mean labels of searches."""
+    return stats.groupBy(*keys).agg(F.avg("wall").alias("runtime_mean_sec"), F.max("wall").alias("runtime_max_sec"), F.avg("generated").alias("labels_gen_mean"), F.avg("nqp_live").alias("pending_mean"))
+
+
+def time_shares(profiles: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+    """keys and the share of each part in the sum of all, whose least value is 1."""
+    total = F.greatest(sum((F.sum(p) for p in parts[1:]), F.sum(parts[0])), F.lit(1))
+    return profiles.groupBy(*keys).agg(*[(F.sum(p) / total).alias(f"{p}_frac") for p in parts])
+
+
+def first_ids(rows: DataFrame, keys: list[str], column: str, n: int) -> DataFrame:
+    """Rows of the first n values of ``column`` in each group, in order."""
+    return rows.withColumn("_n", F.expr(f"dense_rank() over (partition by {', '.join(keys)} order by {column})")).where(F.col("_n") <= n).drop("_n")

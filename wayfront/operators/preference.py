@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import COSTS, jaccard, path_edges, relative_delta
-from .approximate import normalize
+from .approximate import every, normalize
 
 SCHEMES = {
     "time": (0.1, 0.6, 0.1, 0.1, 0.1),
@@ -31,8 +31,7 @@ def sensitivity_weights(spark: SparkSession, focus: int, steps: int = 10) -> Dat
 
 
 def _scored(candidates: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    z = normalize(candidates, keys, 5).withColumn("_one", F.lit(1))
-    both = z.join(F.broadcast(weights.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    both = every(normalize(candidates, keys, 5), weights)
     total = F.col("w1") * F.col("z1")
     for k in range(2, 6):
         total = total + F.col(f"w{k}") * F.col(f"z{k}")
@@ -58,6 +57,38 @@ def robust(candidates: DataFrame, weights: DataFrame, keys: list[str], order: li
     return best.select(*keys, (-F.col("r.lost")).alias("wins"), *[F.col(f"r.{c}").alias(c) for c in (*COSTS, *order)])
 
 
+def avoiding(candidates: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates (``keys``, dataset, path, ...) none of whose steps is a closed edge; all of a group's where none is left."""
+    steps = F.transform(path_edges("path"), lambda e: F.concat_ws(">", e["a"].cast("string"), e["b"].cast("string")))
+    shut = closed.groupBy("dataset").agg(F.collect_set(F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string"))).alias("_shut"))
+    marked = candidates.join(shut, "dataset", "left").withColumn("_open", ~F.coalesce(F.arrays_overlap(steps, "_shut"), F.lit(False)))
+    some = marked.groupBy(*keys).agg(F.max("_open").alias("_some"))
+    return marked.join(some, keys).where("_open or not _some").select(candidates.columns)
+
+
+def changed(swept: DataFrame, default: DataFrame, keys: list[str], route: str) -> DataFrame:
+    """``swept`` with changed_vs_default: whether its route differs from the default one of its group."""
+    own = default.select(*keys, F.col(route).alias("_default"))
+    return swept.join(own, keys, "left").withColumn("changed_vs_default", ~F.col(route).eqNullSafe(F.col("_default"))).drop("_default")
+
+
+def continuous(candidates: DataFrame, anchor: DataFrame, keys: list[str], steps: int = 10) -> DataFrame:
+    """keys, lambda, c1..c5, path: after closures, the candidate of least time and least change from the anchor's route.
+
+    Each step of lambda, from 0 to 1, weighs (time - best) / max(best, 1) by 1 - lambda and the
+    share of steps that change by lambda; the largest lambda whose choice isn't slower than
+    twice the best time is taken, and ties go by c1..c5 and path.  This definition is the library's own.
+    """
+    best = candidates.groupBy(*keys).agg(F.min("c2").alias("_best"))
+    change = 1 - jaccard(path_edges("path"), path_edges("_anchor"))
+    wide = candidates.join(anchor.select(*keys, F.col("path").alias("_anchor")), keys).join(best, keys).withColumn("_change", change).withColumn("_slow", (F.col("c2") - F.col("_best")) / F.greatest("_best", F.lit(1)))
+    tried = wide.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("lambda", F.col("_i") / F.lit(float(steps)))
+    score = F.round((1 - F.col("lambda")) * F.col("_slow") + F.col("lambda") * F.col("_change"), 12)
+    chosen = tried.groupBy(*keys, "lambda").agg(F.min(F.struct(score.alias("s"), *COSTS, "path", "_slow")).alias("r"))
+    taken = chosen.where("r._slow <= 1").groupBy(*keys).agg(F.max_by("r", "lambda").alias("r"), F.max("lambda").alias("lambda"))
+    return taken.select(*keys, "lambda", *[F.col(f"r.{c}").alias(c) for c in COSTS], F.col("r.path").alias("path"))
+
+
 def diversity(recommended: DataFrame, keys: list[str], route: str) -> DataFrame:
     """keys, n_schemes, n_unique, all_same; a null route counts as one."""
     text = F.coalesce(F.col(route).cast("string"), F.lit(""))

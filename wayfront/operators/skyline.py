@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from ..functions.stored import cut
 from ..functions.columns import costs, strictly_dominates, weakly_dominates
 
 #: Vectors of one block, whose own skyline is found before blocks meet.
@@ -45,7 +46,7 @@ def distinct_skyline(rows: DataFrame, keys: list[str], m: int) -> DataFrame:
     def thin(group: pd.DataFrame) -> pd.DataFrame:
         return group[local_front(group[names].to_numpy())]
 
-    thinned = salted.groupBy(*keys, "_block").applyInPandas(thin, salted.schema).drop("_block")
+    thinned = cut(salted.groupBy(*keys, "_block").applyInPandas(thin, salted.schema).drop("_block"))
     return _undominated(thinned, thinned, keys, names)
 
 

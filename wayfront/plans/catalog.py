@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions.stored import cut
 from ..operators import analysis, approximate, corridor, jobs, networks, preference, skyline
 from ..sources import files, tables
 from . import fixpoint, search
@@ -248,9 +249,10 @@ def lexmin_orders(spark, d):
 
 def _corridor(spark, d):
     own, asked = _districts(spark, d)
-    ahead, behind = search.so_far(own, asked), search.to_go(own, asked)
-    incumbents = skyline.distinct_skyline(search.lexicographic(own, asked), QUERY, 3)
-    return own, asked, ahead, behind, incumbents
+    own, asked = cut(own), cut(asked)
+    known = cut(search.bounds_and_seeds(own, asked))
+    incumbents = cut(skyline.distinct_skyline(search.seeds_of(known), QUERY, 3))
+    return own, asked, *search.bounds_of(known), incumbents
 
 
 @query("select * from incumbents")
@@ -299,14 +301,18 @@ def candidates_weighted(spark, d):
     return _weighted(spark, d).withColumn("path", X.path_text("path"))
 
 
+def _grid_weights(k):
+    return [(a, b, k - a - b) for a in range(k + 1) for b in range(k + 1 - a)]
+
+
 SEEDS = f"(select distinct dataset, query_id, {C3} from {BY_WEIGHT} union select dataset, query_id, {C3} from lexmin)"
 
 
 @query(f"select dataset, query_id, {C3} from {SEEDS} a where not exists (from {SEEDS} b where b.dataset = a.dataset and b.query_id = a.query_id and {_dominates('b', 'a', 3)})")
 def seed_bank(spark, d):
     own, asked = _districts(spark, d)
-    names = [*QUERY, *X.costs(3)]
-    return skyline.distinct_skyline(_weighted(spark, d).select(*names).unionByName(search.lexicographic(own, asked).select(*names)), QUERY, 3)
+    found = search.seed_vectors(own, asked, _grid_weights(GRID_K))
+    return skyline.distinct_skyline(found.unionByName(search.lexicographic(own, asked).select(found.columns)), QUERY, 3)
 
 
 @query(f"select dataset, query_id, c1, c2, c3, c4, c5, array_to_string(path, '->') as path from {BY_WEIGHT} qualify row_number() over (partition by dataset, query_id, {C3} order by len(path), path) = 1")
@@ -331,10 +337,7 @@ def front_without_bounds(spark, d):
 @query("select * from front3")
 def front_in_corridor(spark, d):
     """The front from the corridor's edges and the seeds."""
-    own, asked, ahead, behind, incumbents = _corridor(spark, d)
-    kept = corridor.edges(asked, own, ahead, behind, incumbents).select(own.columns)
-    found = search.front(kept, asked, 3, seeds=incumbents)
-    return skyline.distinct_skyline(found.unionByName(incumbents.select(found.columns)), QUERY, 3)
+    return search.pareto_front(*_districts(spark, d), 3, mode="corridor")
 
 
 @query(f"select *, row_number() over (partition by dataset, query_id order by {C3}) as solution_id from front3")
@@ -753,3 +756,6 @@ def progress_log(spark, d):
     last = tables.searches(spark, d).groupBy(F.col("expanded").alias("exp")).agg(F.max("generated").alias("gen"))
     lines = last.select(F.format_string(files.LOG_PREFIX + " exp=%d gen=%d live=1 open=2 |S|=3 node_pr=4 goal_pr=5 dup=6 stale=7 max_node=8", "exp", "gen").alias("value"))
     return jobs.slopes(files.parse_progress(lines)).select("exp", "gen", "rg")
+
+
+from . import catalog_more  # noqa: E402, F401 - adds its queries to these

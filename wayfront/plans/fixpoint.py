@@ -7,28 +7,21 @@ network's edges (which are read from where they were written).
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfront-"))
-    return df.checkpoint()
+from ..functions.stored import cut
 
 
 def distances(edges: DataFrame, sources: DataFrame, cost: str) -> DataFrame:
     """dataset, source, node, distance: least sums of ``cost`` from each (dataset, source)."""
     steps = edges.select("dataset", F.col("src").alias("node"), "dst", F.col(cost).alias("step"))
-    best = _cut(sources.select("dataset", "source", F.col("source").alias("node"), F.lit(0).cast("long").alias("distance")).distinct())
+    best = cut(sources.select("dataset", "source", F.col("source").alias("node"), F.lit(0).cast("long").alias("distance")).distinct())
     frontier = best
     while not frontier.isEmpty():
         reached = frontier.join(steps, ["dataset", "node"]).select("dataset", "source", F.col("dst").alias("node"), (F.col("distance") + F.col("step")).alias("new"))
         reached = reached.groupBy("dataset", "source", "node").agg(F.min("new").alias("new"))
-        merged = _cut(best.join(reached, ["dataset", "source", "node"], "full_outer"))
+        merged = cut(best.join(reached, ["dataset", "source", "node"], "full_outer"))
         frontier = merged.where("distance is null or new < distance").select("dataset", "source", "node", F.col("new").alias("distance"))
         best = merged.select("dataset", "source", "node", F.least("distance", "new").alias("distance"))
     return best

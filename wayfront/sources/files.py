@@ -41,12 +41,12 @@ def read_closed(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     return rows.select(F.lit(dataset).alias("dataset"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).distinct()
 
 
-def cached(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
-    """The Parquet table at ``path``, written from ``build()`` if it isn't there or ``rebuild`` is set."""
+def cached(spark: SparkSession, path: str, build, rebuild: bool = False, partitions: list[str] | None = None) -> DataFrame:
+    """The Parquet table at ``path``, written from ``build()`` (by ``partitions``, if any) if it isn't there or ``rebuild`` is set."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     if rebuild or not there:
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").partitionBy(*(partitions or [])).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -7,9 +7,9 @@ one class leads, the one whose buckets are largest together: where many texts ar
 copies of one, that one.  The others are compared with it, by the collision-corrected
 estimate from bit counts, and then on the full sets.  Links give components.
 
-A bucket whose classes lie in several components stays open.  If it is wide it is dealt
-into finer buckets, by the bits of more functions, which are led in the same way.  What
-is open then is compared whole: classes outside a bucket's main component meet all its
+A bucket whose classes lie in several components stays open.  If many of them are outside
+its main component, it is dealt into finer buckets, by the bits of more functions, which
+are led in the same way.  What is open then is compared whole: classes outside a bucket's main component meet all its
 classes, by estimates, in blocks of bounded size, and those that may reach the threshold
 are confirmed on full sets, in blocks again.  Neither step sends pairs on: the first one
 says which class has to visit which cell (the classes whose first leader is the same),
@@ -21,7 +21,7 @@ splits, and are aggregated before they are shuffled.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 < 5e-8, and
 its estimate falls below ``LEAST_ESTIMATE`` with a probability below 1e-6.  If all its
-buckets are wide, finer ones lose it with a probability below 1e-5.
+buckets are dealt anew, finer ones lose it with a probability below 1e-5.
 
 Defined results: null and empty texts, and texts without words, have no shingles and
 link with nothing; a text with fewer words than a shingle has one, its whole sequence;
@@ -49,7 +49,7 @@ BANDS, ROWS = 32, 4
 LOW_BITS = 2
 #: Estimates below this are not confirmed: about five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.7
-#: Members of a bucket whose estimates are compared in one block; wider buckets are dealt into finer ones first.
+#: Members of a bucket whose estimates are compared in one block; a bucket with more of them outside its main component is dealt into finer ones first.
 BLOCK = 1024
 #: Hashes of full sets on one side of a group.
 BLOCK_HASHES = 1 << 16
@@ -473,13 +473,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     homes = cut(homes, few)
     drop(stars)
     unsettled = cut(_open(shared.select("key", "class"), roots), few)
-    wide = unsettled.where(f"members > {BLOCK}")
+    wide = unsettled.where(f"members - major_n > {BLOCK}")
     if not wide.isEmpty():
-        # a wide bucket is dealt into finer ones, which are led anew
+        # a bucket with many minor members is dealt into finer ones, which are led anew
         finer = cut(_weighed(_finer(wide.join(classes.select("class", "bits"), "class"))))
         stars = cut(_stars(finer))
         roots = linked(stars, roots)
-        narrow = unsettled.where(f"members <= {BLOCK}").select("key", "class")
+        narrow = unsettled.where(f"members - major_n <= {BLOCK}").select("key", "class")
         before, unsettled = unsettled, cut(_open(narrow.unionByName(finer.select("key", "class")), roots))
         drop(before, finer, stars)
     described = classes.select("class", "bits", "n_shingles").join(homes, "class", "left").withColumn("cell", F.coalesce("cell", "class"))

@@ -1,8 +1,13 @@
 """From documents to token ids: toxicity, near duplicates, personal data, mixing, BPE.
 
 Each stage takes what the one before kept, written as Parquet and read again.  The
-whole has no SQL: the first stage is a trained network.  ``tests/llm`` holds every
-stage against a brute-force version.
+whole has no SQL: the first stage is a trained network.
+
+Defined results: documents with null or empty text are scored like any other, are near
+copies of nothing, have no personal data, and have no piece in the mix, which holds
+words only; so they give no row of ids.  Documents without doc_id stay until the mix and
+are mixed as well.  Repeated rows of a document are near copies of each other, and all
+of them stay if their doc_id does.  A null source is a source.  An empty table gives no rows.
 """
 
 from __future__ import annotations

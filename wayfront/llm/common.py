@@ -128,7 +128,7 @@ def groups(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.Table]
 
 
 #: Small rows that one task writes without effort.
-TASK_ROWS = 50_000
+TASK_ROWS = 20_000
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:

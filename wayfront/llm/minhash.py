@@ -5,15 +5,16 @@ the first 128 make the keys of 32 bands, four at a time; then 2 bits of each are
 into sixteen longs.  Documents with equal sets are one class.  In every bucket of a band
 one class leads, the one whose buckets are largest together: where many texts are near
 copies of one, that one.  The others are compared with it, by the collision-corrected
-estimate from bit counts, and then on the full sets.  Links give components.
+estimate from bit counts, and then on the full sets.  The heaviest leader that a class is
+linked with is its root.
 
-A bucket whose classes lie in several components stays open.  If many of them are outside
-its main component, it is dealt into finer buckets, by the bits of more functions, which
-are led in the same way.  What is open then is compared whole: classes outside a bucket's main component meet all its
+A bucket whose classes have several roots stays open.  If many of them haven't its main
+root, it is dealt into finer buckets, by the bits of more functions, which
+are led in the same way.  What is open then is compared whole: classes without a bucket's main root meet all its
 classes, by estimates, in blocks of bounded size, and those that may reach the threshold
 are confirmed on full sets, in blocks again.  Neither step sends pairs on: the first one
 says which class has to visit which cell (the classes whose first leader is the same),
-the second one gives a visitor's links, one to each component.  So no link between
+the second one gives a visitor's links, one to each root.  Links give components.  So no link between
 classes that share a bucket is lost, and no bucket is paired out that leaders settle.
 
 Keys that many rows share are joined by merge joins, whose hot keys adaptive execution
@@ -49,7 +50,7 @@ BANDS, ROWS = 32, 4
 LOW_BITS = 2
 #: Estimates below this are not confirmed: about five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.7
-#: Members of a bucket whose estimates are compared in one block; a bucket with more of them outside its main component is dealt into finer ones first.
+#: Members of a bucket whose estimates are compared in one block; a bucket with more of them without its main root is dealt into finer ones first.
 BLOCK = 1024
 #: Hashes of full sets on one side of a group.
 BLOCK_HASHES = 1 << 16
@@ -224,14 +225,15 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sizes and bits allow a link."""
+    """Pairs (a, b, weight) of classes whose sizes and bits allow a link."""
     side = lambda s: classes.select(F.col("class").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     near = (100 * F.least("n_a", "n_b") >= per_cent * F.greatest("n_a", "n_b")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST_ESTIMATE)
-    return both.where(near).select("a", "b")
+    return both.where(near).select("a", "b", "weight")
 
 
-CONFIRMED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+LINKED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+CONFIRMED = pa.schema([*LINKED, ("weight", pa.int64())])
 SETS_SCHEMA = pa.schema([("class", pa.binary()), ("hashes", pa.binary())])
 
 
@@ -254,27 +256,25 @@ def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) ->
     return full
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold.
+def _confirmed(pairs: DataFrame, full: DataFrame, classes: int, per_cent: int) -> DataFrame:
+    """Pairs (a, b, weight) whose full sets reach the threshold.
 
     Classes are dealt into blocks of about ``SETS``; a group has the sets of two blocks, once each,
     and their pairs.  So a set is sent once for each other block, not once for each pair.
     """
     n = partitions(pairs.sparkSession)
-    pairs = pairs.select("a", "b")
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    blocks = max(1, -(-ends.count() // SETS))
+    blocks = max(1, -(-classes // SETS))
     block = lambda c: F.expr(f"pmod(xxhash64({c}), {blocks})")
-    dealt = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b")
+    dealt = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b", "weight")
     wanted = dealt.select("p", "q", F.col("a").alias("class")).unionByName(dealt.select("p", "q", F.col("b").alias("class"))).distinct()
-    rows = wanted.join(full, "class").select("p", "q", F.col("class").alias("a"), F.lit(None).cast("binary").alias("b"), "hashes")
+    rows = wanted.join(full, "class").select("p", "q", F.col("class").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(0).cast("long").alias("weight"), "hashes")
     rows = rows.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, known = None, {}
         for batch in batches:
             good = []
-            for p, q, a, b, hashes in zip(*(batch[c].to_pylist() for c in ("p", "q", "a", "b", "hashes")), strict=True):
+            for p, q, a, b, weight, hashes in zip(*(batch[c].to_pylist() for c in ("p", "q", "a", "b", "weight", "hashes")), strict=True):
                 if group != (p, q):
                     group, known = (p, q), {}
                 if b is None:
@@ -283,12 +283,24 @@ def _confirmed(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
                     x, y = known[a], known[b]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= per_cent * (len(x) + len(y) - both):
-                        good.append((a, b))
-            yield pa.record_batch([pa.array([g[i] for g in good], pa.binary()) for i in (0, 1)], CONFIRMED)
+                        good.append((a, b, weight))
+            yield pa.record_batch([pa.array([g[i] for g in good], f.type) for i, f in enumerate(CONFIRMED)], CONFIRMED)
 
     # within a group the sets come first
     ordered = rows.repartition(n, "p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull())
-    return ordered.mapInArrow(check, "a binary, b binary")
+    return ordered.mapInArrow(check, "a binary, b binary, weight long")
+
+
+def _heads(links: DataFrame) -> DataFrame:
+    """class and root: the heaviest leader that each class is linked with, or that leader's own.
+
+    A leader is heavier than those that it leads, so there is no circle.  Classes of one
+    component may have several roots; they are told apart less often than that in
+    buckets that the same classes lead, and a bucket that seems open is compared once more.
+    """
+    up = links.groupBy(F.col("a").alias("class")).agg(F.max(F.struct("weight", "b")).alias("m")).select("class", F.col("m.b").alias("root"))
+    above = up.select(F.col("class").alias("root"), F.col("root").alias("top"))
+    return up.join(above, "root", "left").select("class", F.coalesce("top", "root").alias("root"))
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -317,9 +329,9 @@ def _finer(members: DataFrame) -> DataFrame:
     return members.select("class", F.explode(F.array(*halves)).alias("key")).distinct()
 
 
-def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, class, root, members and major of buckets whose classes lie in more than one component; major is the component of most of them."""
-    named = keys.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+def _open(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """key, class, root, cell, members, major and major_n of buckets whose classes have more than one root; major is the root of most of them."""
+    named = keys.join(known, "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"), F.coalesce("cell", "class").alias("cell"))
     counts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("members"), F.count("*").alias("roots")).where("roots > 1")
     return named.join(sizes.select("key", "members", F.col("major.root").alias("major"), F.col("major.n").alias("major_n")), "key")
@@ -331,7 +343,7 @@ VISITS = pa.schema([("cell", pa.binary()), ("class", pa.binary()), ("visitor", p
 def _visits(members: DataFrame, per_cent: int) -> DataFrame:
     """cell, class and visitor: which classes have to be compared with which cell's, by their estimates.
 
-    Most members of an open bucket share a component.  Only the others, its minor
+    Most members of an open bucket share a root.  Only the others, its minor
     members, can have links that are missing: they meet all members.  Minor members and
     all members are each cut into blocks of about ``BLOCK``, and a group holds one block
     of either kind, however large its bucket is.  What is sent on is not the pairs but
@@ -385,15 +397,15 @@ def _visits(members: DataFrame, per_cent: int) -> DataFrame:
     return ordered.mapInArrow(compare, "cell binary, class binary, visitor boolean").distinct()
 
 
-def _rest(visits: DataFrame, full: DataFrame, classes: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
+def _rest(visits: DataFrame, full: DataFrame, classes: DataFrame, known: DataFrame, per_cent: int) -> DataFrame:
     """Links (a, b) between a cell's visitors and the classes that they may meet there, on full sets.
 
     Both sides of a cell are cut into blocks of about ``BLOCK_HASHES`` hashes.  A group
-    holds one block of each, and gives at most one link of a visitor to each component.
+    holds one block of each, and gives at most one link of a visitor to each root.
     """
     n = partitions(visits.sparkSession)
     # a visitor that others may meet, too, is here twice
-    rows = visits.join(classes.select("class", "n_shingles"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rows = visits.join(classes.select("class", "n_shingles"), "class").join(known.select("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     sums = rows.groupBy("cell").agg(*[F.expr(f"1 + sum(if({w}, n_shingles, 0L)) div {BLOCK_HASHES}").alias(c) for c, w in (("blocks", "not visitor"), ("visitor_blocks", "visitor"))])
     dealt = rows.join(sums, "cell").join(full, "class")
     row = ["cell", "class", "root", "visitor", "hashes"]
@@ -423,19 +435,12 @@ def _rest(visits: DataFrame, full: DataFrame, classes: DataFrame, roots: DataFra
                 hit = home[(100 * both >= per_cent * (len(sets[k]) + size - both)) & (root[home] != root[k])]
                 good += [(name[k], name[j]) for j in hit[np.unique(root[hit], return_index=True)[1]]]
             if good:
-                yield pa.record_batch([pa.array([g[i] for g in good], pa.binary()) for i in (0, 1)], CONFIRMED)
+                yield pa.record_batch([pa.array([g[i] for g in good], pa.binary()) for i in (0, 1)], LINKED)
 
     ordered = rows.repartition(n, "cell", "block", "visitor_block").sortWithinPartitions("cell", "block", "visitor_block")
     return ordered.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select(pairs.columns)
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links) and kept (whether it is its own).
 
@@ -444,49 +449,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(sign(docs, size))
     classes = cut(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    few = tasks_for(docs.sparkSession, classes.count())
+    n_classes = classes.count()
+    few = tasks_for(docs.sparkSession, n_classes)
     shared = cut(_weighed(classes.select("class", F.explode("bands").alias("key"))))
     full = cut(_sets(shared.select("class").distinct(), docs, classes, size))
 
-    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """Components after the links among ``pairs``."""
-        possible = cut(_possible(pairs if roots is None else _across(pairs, roots), classes, per_cent), few)
-        links = cut(_confirmed(possible, full, per_cent), few)
-        now = merged(links, roots)
-        drop(possible, links)
-        return now
-
-    def merged(links: DataFrame, roots: DataFrame | None) -> DataFrame:
-        if roots is None:
-            return components(links, few)
-        if links.isEmpty():
-            return roots
-        now = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), few)
-        drop(roots)
-        return now
-
-    # each class and the leaders of its buckets
+    def confirmed(stars: DataFrame) -> DataFrame:
+        possible = cut(_possible(stars, classes, per_cent), few)
+        links = cut(_confirmed(possible, full, n_classes, per_cent), few)
+        drop(possible)
+        return links
+
+    # each class and the leaders of its buckets; its cell is led by the one that it meets most often
     stars = cut(_stars(shared), few)
-    roots = linked(stars, None)
-    # a class's cell is led by the leader that it meets most often
+    links = confirmed(stars)
     homes = stars.groupBy(F.col("a").alias("class")).agg(F.max(F.struct("bands", "weight", "b")).alias("m")).select("class", F.col("m.b").alias("cell"))
-    homes = cut(homes, few)
-    drop(stars)
-    unsettled = cut(_open(shared.select("key", "class"), roots), few)
+    known = cut(homes.join(_heads(links), "class", "left"), few)
+    unsettled = cut(_open(shared.select("key", "class"), known), few)
+    drop(stars, shared)
     wide = unsettled.where(f"members - major_n > {BLOCK}")
     if not wide.isEmpty():
         # a bucket with many minor members is dealt into finer ones, which are led anew
-        finer = cut(_weighed(_finer(wide.join(classes.select("class", "bits"), "class"))))
+        finer = cut(_weighed(_finer(wide.select("key", "class").join(classes.select("class", "bits"), "class"))))
         stars = cut(_stars(finer))
-        roots = linked(stars, roots)
+        more = confirmed(stars)
+        links = links.unionByName(more)
+        before, known = known, cut(known.select("class", "cell").join(_heads(links), "class", "full_outer").select("class", F.coalesce("cell", "class").alias("cell"), "root"))
         narrow = unsettled.where(f"members - major_n <= {BLOCK}").select("key", "class")
-        before, unsettled = unsettled, cut(_open(narrow.unionByName(finer.select("key", "class")), roots))
-        drop(before, finer, stars)
-    described = classes.select("class", "bits", "n_shingles").join(homes, "class", "left").withColumn("cell", F.coalesce("cell", "class"))
-    visits = cut(_visits(unsettled.join(described, "class"), per_cent), few)
-    links = cut(_rest(visits, full, classes, roots, per_cent), few)
-    roots = merged(links, roots)
-    drop(visits, links, unsettled, full, shared, homes)
+        still, unsettled = unsettled, cut(_open(narrow.unionByName(finer.select("key", "class")), known))
+        drop(before, still, finer, stars)
+    visits = cut(_visits(unsettled.join(classes.select("class", "bits", "n_shingles"), "class"), per_cent), few)
+    rest = cut(_rest(visits, full, classes, known, per_cent), few)
+    roots = components(links.select("a", "b").unionByName(rest), few)
+    drop(visits, rest, unsettled, full, known)
     named = classes.select("class", "owner").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "owner", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("component_id"))
     by_class = cut(named.join(least, "root").select("class", "component_id"), few)

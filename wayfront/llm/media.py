@@ -1,7 +1,7 @@
 """Media columns as content-defined chunks.
 
 A text's UTF-8 bytes, padded by spaces to frames of ``FRAME`` bytes, are the 8-bit
-samples of a mono WAV file.  A rolling gear hash over the samples cuts them into
+samples of a mono WAV file.  A rolling gear hash over the file's bytes cuts them into
 chunks; equal chunks have equal digests, and a Spark join of the digests with the
 first place of each (document and position) decides who stores a chunk.  The store
 holds every distinct chunk once, compressed; manifests list a payload's chunks in
@@ -59,6 +59,15 @@ def header(n: int) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n)
 
 
+HEADER_BYTES = len(header(0))
+
+
+def media(text: str | None) -> bytes:
+    """The file that is stored: header and samples."""
+    data = payload(text)
+    return header(len(data)) + data
+
+
 @functools.lru_cache(1)
 def gear() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20_091)).integers(0, 2**64, 256, U64, endpoint=False)
@@ -162,12 +171,12 @@ def write(docs: DataFrame, path: str) -> None:
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            data = payload(text)
+            data = media(text)
             found.append((doc, payload_id(data), len((text or "").encode()), [digest(c) for c in chunks(data)]))
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), LISTED, strict=True)], LISTED)
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = [payload(t) for t in batch["text"].to_pylist()]
+        data = [media(t) for t in batch["text"].to_pylist()]
         press = tools(shared.value)[0].compress
         return pa.record_batch([batch["doc_id"].cast(pa.int64()), pa.array(map(payload_id, data), pa.binary()), pa.array(map(press, data), pa.binary())], BLOBS)
 
@@ -217,9 +226,9 @@ MEASURED = pa.schema([("payload_id", pa.binary()), ("payload_bytes", pa.int64())
 MEASURED_DDL = "payload_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def measure(key: bytes, data: bytes) -> tuple:
-    media = header(len(data)) + data
-    return key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(data)
+def measure(key: bytes, stored: bytes) -> tuple:
+    data = stored[HEADER_BYTES:]
+    return key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(data)
 
 
 def payloads(spark: SparkSession, path: str, use: Callable[[bytes, bytes], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
@@ -267,7 +276,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("payload_id", pa.binary()), ("payload", pa.binary())])
     found = payloads(spark, path, lambda key, data: (key, data), schema, "payload_id binary, payload binary").dropDuplicates(["payload_id"])
     documents = spark.read.parquet(f"{path}/documents").select("doc_id", "payload_id", "n_bytes")
-    return documents.join(found.hint("merge"), "payload_id").select("doc_id", F.expr("cast(substring(payload, 1, cast(n_bytes as int)) as string)").alias("text"))
+    return documents.join(found.hint("merge"), "payload_id").select("doc_id", F.expr(f"cast(substring(payload, {HEADER_BYTES + 1}, cast(n_bytes as int)) as string)").alias("text"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

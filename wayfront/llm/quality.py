@@ -98,9 +98,9 @@ def rule_value(rule: tuple) -> F.Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exactly summed."""
-    i = np.arange(k + 1)
-    log = np.array([math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) for j in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
+    """P(Bin(n, p) <= k), exactly summed: each term from the one before."""
+    i = np.arange(1, k + 1)
+    log = n * math.log1p(-p) + np.concatenate([[0.0], np.cumsum(np.log((n - i + 1) / i) + math.log(p) - math.log1p(-p))])
     return float(np.exp(log).sum())
 
 

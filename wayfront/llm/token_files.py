@@ -135,16 +135,19 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int) -> None
             data.clear()
             return pa.record_batch([pa.array(v, f.type) for v, f in zip(row, SEGMENTS, strict=True)], SEGMENTS)
 
-        for batch in batches:
-            encoded = coder.encode([t or "" for t in batch["text"].to_pylist()])
-            for doc, own in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
-                ids.append(doc)
-                data.append(own + end)
-                size += len(own) // 4 + 1
-                if size >= SEGMENT_IDS:
-                    yield flush()
-        if data:
-            yield flush()
+        try:
+            for batch in batches:
+                encoded = coder.encode([t or "" for t in batch["text"].to_pylist()])
+                for doc, own in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
+                    ids.append(doc)
+                    data.append(own + end)
+                    size += len(own) // 4 + 1
+                    if size >= SEGMENT_IDS:
+                        yield flush()
+            if data:
+                yield flush()
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -180,8 +183,11 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 
     ddl = READ_DDL.replace("ids binary", "n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
     docs = files.select("part", "segment", "doc_ids", "lengths", "data").mapInArrow(unpack, ddl)
-    before = F.expr("coalesce(sum(n_ids) over (order by part, segment rows between unbounded preceding and 1 preceding), 0)")
-    starts = files.select("part", "segment", "n_ids").withColumn("before", before).select("part", "segment", "before")
+    # segments are summed up within their part, and parts (one for each writing task) among themselves
+    before = "coalesce(sum({0}) over ({1} rows between unbounded preceding and 1 preceding), 0)"
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("part_start", F.expr(before.format("ids", "order by part"))).select("part", "part_start")
+    starts = files.select("part", "segment", F.expr(before.format("n_ids", "partition by part order by segment")).alias("inside"))
+    starts = starts.join(parts, "part").select("part", "segment", (F.col("part_start") + F.col("inside")).alias("before"))
     return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("before") + F.col("in_segment")).alias("start"), "n_tokens", last.name)
 
 

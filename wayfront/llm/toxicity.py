@@ -46,10 +46,8 @@ SAMPLE, SAMPLE_WORDS = 2000, 2500
 #: Characters of a sampled text: a run of words beyond them is cut.
 SAMPLE_CHARS = 32_768
 #: Passes over the sample: at least ``EPOCHS``, more for small ones until there are ``STEPS`` steps, at most ``MOST_EPOCHS``.
-EPOCHS, MOST_EPOCHS, STEPS = 6, 40, 700
+EPOCHS, MOST_EPOCHS, STEPS = 6, 24, 700
 RATE, BATCH_DOCS, SEED = 0.01, 32, 20_031
-#: The rarer label's documents weigh this many times as much at most.
-MOST_WEIGHT = 8.0
 #: Characters of texts that are scored together.
 GROUP_CHARS = 1 << 19
 
@@ -206,7 +204,7 @@ def backward(p: dict, rows: np.ndarray, memory: tuple, d_logit: np.ndarray) -> t
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Parameters fitted to documents' labels (1 toxic, 0 not); both labels have the same weight in all, up to ``MOST_WEIGHT`` a document."""
+    """Parameters fitted to documents' labels (1 toxic, 0 not)."""
     rng = np.random.default_rng(seed)
     p = start(rng)
     if not len(texts) or labels.min() == labels.max():
@@ -220,8 +218,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
     groups = [order[at : at + BATCH_DOCS] for at in range(0, len(order), BATCH_DOCS)]
     inputs = [read([texts[i] for i in some]) for some in groups]
     epochs = epochs or int(np.clip(STEPS // len(groups), EPOCHS, MOST_EPOCHS))
-    share = labels.mean()
-    weights = np.clip(np.array([share / (1 - share), (1 - share) / share]), 1.0, MOST_WEIGHT)
     for epoch in range(epochs):
         for turn in rng.permutation(len(groups)):
             some, x = groups[turn], inputs[turn]
@@ -236,7 +232,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
             extra = extra[labels[some][owner[extra]] == 0]
             best, y = np.concatenate([best, extra]), np.concatenate([y, np.zeros(len(extra), np.float32)])
             logits, memory = forward(p, rows, first[best], lengths[best], keep=True)
-            g, d_rows = backward(p, rows, memory, ((sigmoid(logits) - y) * weights[y.astype(int)] / len(best)).astype(np.float32))
+            g, d_rows = backward(p, rows, memory, ((sigmoid(logits) - y) / len(best)).astype(np.float32))
             g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
             used = np.flatnonzero(d_rows.any(1))
             if len(used):

@@ -213,6 +213,17 @@ def test_multinomial_draws(spark):
             assert abs(chi - (shards - 1)) < 4 * (2 * (shards - 1)) ** 0.5
 
 
+def test_draws_in_groups_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SLOTS", 1 << 13)
+    quota = [30_000, 9_000, 7]
+    sources = spark.createDataFrame([(f"={i}", i, q, max(1, q)) for i, q in enumerate(quota)], "skey string, rank long, quota long, blocks long")
+    rows = mixing.draws(sources, sum(quota)).collect()
+    for i, q in enumerate(quota):
+        own = sorted((r["first"], r["count"]) for r in rows if r["rank"] == i)
+        assert sum(n for _, n in own) == q and own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+    assert len({(r["rank"], r["shard"]) for r in rows}) == len(rows) and max(r["shard"] for r in rows) < 5 * 32
+
+
 def test_mix_keeps_slices_and_order(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
     rows = [(i, f" \tstart{i}\n\n" + "  ".join(f"w{i}_{k}\n" for k in range(20 + i * 13 % 400)) + "\u00a0x \n", "ab"[i % 2]) for i in range(60)]

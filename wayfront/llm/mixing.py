@@ -2,11 +2,11 @@
 
 The words of a source's documents are packed, one document after the other, into
 blocks of a fixed number of words.  A source's target and the number of its blocks
-give its quota of items.  Items are dealt over output shards by multinomial draws:
-each cell of items is split between the two halves of the shards, and each half again,
-by a binomial count of pseudorandom bits of what is left there.  So every source's
-counts over the shards are a multinomial draw, targets are met without sampling error,
-and a shard's items of a source are a range of indices.  A permutation per source and
+give its quota of items.  Output shards come in groups of bounded size, and a group gets
+its share of each quota.  A share is dealt over the group's shards by a multinomial draw:
+it is split between the two halves of the shards, and each half again, by a binomial
+count of pseudorandom bits of what is left there.  So targets are met without sampling
+error, and a shard's items of a source are a range of indices.  A permutation per source and
 turn maps an index to a block, and items and blocks are joined by block index.  A block
 is taken at most ``CAP`` times, hence so is each document.
 
@@ -44,12 +44,10 @@ PRIME = 2_147_483_647
 A, B, C = 630_360_016, 742_938_285, 950_706_376
 #: Documents in a bin and bins in a superbin, on average.
 BIN_ROWS, SUPER_BINS = 128, 128
-#: Items of a source that are dealt over the shards together.
-CELL = 4096
+#: Slots of a group of shards.  A group gets its share of every source's quota.
+GROUP_SLOTS = 1 << 18
 #: Pseudorandom bits that one hash gives.
 BITS = 64
-#: Items that one task makes, if Spark's number of partitions gives no fewer.
-TASK_ITEMS = 1 << 18
 
 
 class Plan(NamedTuple):
@@ -102,18 +100,22 @@ def left_count(level: int) -> str:
 
 
 def draws(sources: DataFrame, n_slots: int) -> DataFrame:
-    """skey, rank, blocks, shard, first and count: each cell's items of a source in each output shard, from index ``first`` on.
+    """skey, rank, blocks, shard, first and count: a source's items in each output shard, from index ``first`` on.
 
-    About ``SHARD_SLOTS`` items, of all sources, go to a shard; a shard's number is its leaf in the tree of halves.
+    Shards are dealt in groups of about ``GROUP_SLOTS`` slots, so that a draw's size and the
+    depth of its tree of halves don't grow with the input; a shard has about ``SHARD_SLOTS``
+    items, of all sources.
     """
-    tasks = max(partitions(sources.sparkSession), n_slots // TASK_ITEMS)
-    cells = sources.where("quota > 0").withColumn("cell", F.explode(F.expr(f"sequence(0L, (quota - 1) div {CELL})"))).repartition(tasks, "skey", "cell")
-    dealt = cells.select("skey", "rank", "blocks", "cell", F.lit(0).cast("long").alias("node"), F.expr(f"cell * {CELL}").alias("first"), F.expr(f"least({CELL}, quota - cell * {CELL})").alias("count"))
-    for level in range(max(0, -(-n_slots // SHARD_SLOTS) - 1).bit_length()):
+    groups = max(1, -(-n_slots // GROUP_SLOTS))
+    tasks = max(partitions(sources.sparkSession), groups)
+    levels = max(0, -(-n_slots // (groups * SHARD_SLOTS)) - 1).bit_length()
+    shares = sources.where("quota > 0").withColumn("cell", F.explode(F.expr(f"sequence(0L, {groups - 1}L)"))).repartition(tasks, "skey", "cell")
+    dealt = shares.select("skey", "rank", "blocks", "cell", F.lit(0).cast("long").alias("node"), F.expr(f"quota * cell div {groups}").alias("first"), F.expr(f"quota * (cell + 1) div {groups} - quota * cell div {groups}").alias("count")).where("count > 0")
+    for level in range(levels):
         dealt = dealt.withColumn("left", F.expr(left_count(level)))
         halves = F.expr("array(struct(2 * node as node, first as first, left as count), struct(2 * node + 1 as node, first + left as first, count - left as count))")
         dealt = dealt.select("skey", "rank", "blocks", "cell", F.inline(halves)).where("count > 0")
-    return dealt.withColumnRenamed("node", "shard")
+    return dealt.select("skey", "rank", "blocks", F.expr(f"cell * {1 << levels} + node").alias("shard"), "first", "count").repartition(tasks, "skey", "shard")
 
 
 HASH = f"((((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME}) * {A} + 12345) % {PRIME}"

@@ -6,8 +6,9 @@ of about ``SEGMENT_IDS`` ids.  A file (Parquet, so that any store that Spark wri
 can hold it) has a row for each segment: place, ids of its documents, their lengths and
 the segment's bytes by ``rans``.  Reading needs nothing but the files.
 
-A byte-level vocabulary cuts words before a space between two other characters, so
-the library is asked only once for each such word that a worker has not seen lately.
+A byte-level vocabulary cuts words before a space between two other characters, so only
+words that a worker has not seen lately are encoded.  The library's own model merges
+their parts; those that hold other letters than Latin ones go through its whole encoder.
 
 Defined results: null text counts as empty and has the end id alone; a null doc_id
 comes first; rows of equal doc_id stand in the order of their texts; repeated rows are
@@ -17,10 +18,13 @@ text is one document in one segment, however many blocks that takes.
 
 from __future__ import annotations
 
+import array
 import functools
 import gc
+import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,18 +35,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import Memo, shared_path, small_batches, vocabulary
+from .bpe import byte_letters
+from .common import Recent, shared_path, small_batches, vocabulary
 
 SEGMENT_IDS = 1 << 20
-MEMO_WORDS = 500_000
-#: Characters of texts that are encoded together.
-GROUP_CHARS = 1 << 20
-
-#: Words that the library reads as lines of one text.
-LINES = 4096
+MEMO_WORDS, MEMO_STARTS = 600_000, 50_000
 
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-IRREGULAR = re.compile(r"\s | \s|\A | \Z")
+
+#: Below this character, what is a letter or a number does not depend on the version of Unicode.
+LATIN = 0x250
+BEYOND = re.compile(f"[^\0-{chr(LATIN - 1)}]")
+
+
+def byte_level_parts() -> re.Pattern:
+    """What the library's byte-level pattern finds in texts of characters below ``LATIN``."""
+    letter, number = ("".join(re.escape(chr(c)) for c in range(LATIN) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+    space = r"\t-\r \x85\xa0"
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+PARTS = byte_level_parts()
+LETTERS = dict(enumerate(byte_letters()))
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+class Irregular(Exception):
+    """A text has a space beside other white space."""
 
 
 class ByteLevel:
@@ -55,52 +74,55 @@ class ByteLevel:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        spec = json.loads(data)
+        self.by_parts = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and BYTE_LEVEL.items() <= (spec["pre_tokenizer"] or {}).items()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
-        self.inner = Memo(self.after_space, MEMO_WORDS)
-        self.outer = Memo(self.whole, MEMO_WORDS)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def after_space(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it.
-
-        The library reads many words as the lines of one text: a line's end before a space is a
-        word of its own, whose id no other part of such a text can have.
-        """
-        plain = [w for w in words if w.isprintable() and " " not in w]  # so without white space
-        odd = [w for w in words if not w.isprintable() or " " in w]
-        found = dict(zip(odd, self.whole([" " + w for w in odd]), strict=True))
-        for at in range(0, len(plain), LINES):
-            some = plain[at : at + LINES]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([f" {w}\n" for w in some])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line[0])
-            if len(self.line) != 1 or len(ends) != len(some):
-                found.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-                continue
-            data, places = ids.tobytes(), (4 * ends).tolist()
-            found.update(zip(some, [data[a:b] for a, b in zip([0, *[p + 4 for p in places[:-1]]], places, strict=True)], strict=True))
-        return [found[w] for w in words]
+        self.inner = Recent(self.after_space, MEMO_WORDS)
+        self.outer = Recent(self.start, MEMO_STARTS)
+        self.parts = Recent(self.part, MEMO_WORDS // 4)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def merged(self, letters: str) -> bytes:
+        """Ids of what the library's pattern finds at once, given by the letters of its bytes."""
+        return array.array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def part(self, text: str) -> bytes:
+        return self.merged(text.encode().decode("latin-1").translate(LETTERS))
+
+    def start(self, word: str) -> bytes:
+        if word[-1:].isspace():
+            raise Irregular
+        return self.whole(word)
+
+    def after_space(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if self.by_parts and word.isalpha():
+            if word.isascii():
+                return self.merged(LETTERS[32] + word)
+            if not BEYOND.search(word):
+                return self.part(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Irregular
+        if not self.by_parts or BEYOND.search(word):
+            return self.whole(" " + word)
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(" " + word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
+        out, inner = [], self.inner.__getitem__
         for text in texts:
-            group.append(text)
-            size += len(text)
-            if size > GROUP_CHARS:
-                out += self._encode(group)
-                group, size = [], 0
-        return out + self._encode(group)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(a in t for a in self.added) else BETWEEN.split(t) if IRREGULAR.search(t) else t.split(" ") for t in texts]
-        starts = [s.pop(0) if s else "" for s in split]
-        first = self.outer.get(set(starts))
-        rest = self.inner.get(set().union(*[s for s in split if s])).__getitem__
-        return [first[f] + b"".join(map(rest, s)) if s is not None else self.whole([t])[0] for f, s, t in zip(starts, split, texts, strict=True)]
+            if any(a in text for a in self.added):
+                out.append(self.whole(text))
+                continue
+            try:
+                first, *rest = text.split(" ")
+                out.append(self.outer[first] + b"".join(map(inner, rest)))
+            except Irregular:
+                first, *rest = BETWEEN.split(text)
+                out.append(self.whole(first) + b"".join([self.whole(" " + w) if w[-1].isspace() else inner(w) for w in rest]))
+        return out
 
 
 @functools.lru_cache(2)

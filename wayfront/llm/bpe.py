@@ -15,7 +15,6 @@ columns of the input are ignored.  Texts of any length are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -28,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, by_batch, small_batches, vocabulary
+from .common import Memo, by_batch, resident, small_batches, vocabulary
 
 NO_RANK = 1 << 60
 
 #: Words that a worker remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 
 #: Bytes of a short word, by the width of the block that it shares.
 SHORT = (4, 8, 12, 16, 24, 48)
@@ -42,7 +41,7 @@ SHORT = (4, 8, 12, 16, 24, 48)
 BLOCK_WORDS = 8192
 
 #: Characters of texts that are encoded together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 
 #: Unicode White_Space, which the vocabulary's patterns mean by \s.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -237,9 +236,8 @@ class WordBpe:
         return b" ".join(map(self.token.__getitem__, ids))
 
 
-@functools.lru_cache(2)
 def coder(data: bytes) -> WordBpe:
-    return WordBpe(data)
+    return resident(WordBpe, data)
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])

@@ -19,7 +19,6 @@ text is one document in one segment, however many blocks that takes.
 from __future__ import annotations
 
 import array
-import functools
 import gc
 import json
 import os
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .bpe import byte_letters
-from .common import Recent, shared_path, small_batches, vocabulary
+from .common import Recent, resident, shared_path, small_batches, trim, vocabulary
 
 SEGMENT_IDS = 1 << 20
 MEMO_WORDS, MEMO_STARTS = 600_000, 50_000
@@ -125,9 +124,8 @@ class ByteLevel:
         return out
 
 
-@functools.lru_cache(2)
 def byte_level(data: bytes) -> ByteLevel:
-    return ByteLevel(data)
+    return resident(ByteLevel, data)
 
 
 SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -170,6 +168,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int) -> None
                 yield flush()
         finally:
             gc.enable()
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
